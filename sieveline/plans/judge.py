@@ -193,8 +193,7 @@ def estimate(listings: DataFrame | None, brief: Brief, places: int = 0) -> DataF
         return plan.withColumn("rows_in", F.lit(None).cast("long"))
     base = first_seen(conform(listings))
     free = rules.evaluate(measure_free(base, brief), brief.filters, set(brief.signals_for(FREE)))
-    seen = free.agg(F.count(F.lit(1)).alias("all_rows"),
-                    F.count_if(F.col("outcome") == QUALIFIED).alias("survivors"))
-    return plan.join(F.broadcast(seen)).withColumn(
-        "rows_in", F.when(F.col("n_signals") == 0, F.lit(0)).when(F.col("tier") == FREE, F.col("all_rows"))
-        .otherwise(F.col("survivors"))).drop("all_rows", "survivors")
+    every = free.agg(F.count(F.lit(1)).alias("n")).scalar()
+    alive = free.agg(F.count_if(F.col("outcome") == QUALIFIED).alias("n")).scalar()
+    return plan.withColumn("rows_in", F.when(F.col("n_signals") == 0, F.lit(0).cast("long"))
+                           .when(F.col("tier") == FREE, every).otherwise(alive))
