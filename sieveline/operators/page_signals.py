@@ -90,7 +90,8 @@ def with_pages(listings: DataFrame, facts: DataFrame, contact_hop: bool = True)
     out = lookup(listings.withColumn("_page_url", F.nullif(urls.normalise(target), F.lit(""))),
                  _packed(facts, "_page").withColumnRenamed("__page_url", "_page_url"), "_page_url")
     if not contact_hop:
-        return out.withColumn("_contact", F.lit(None).cast(out.schema["_page"].dataType))
+        return out.withColumns({"_contact": F.lit(None).cast(out.schema["_page"].dataType),
+                                "_contact_url": F.lit(None).cast("string")})
     page = F.col("_page")
     link, home = page["contact_url"], page["final_url"]
     hop = page["ok"] & (F.size(page["emails"]) == 0) & link.isNotNull() & (

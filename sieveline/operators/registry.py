@@ -104,11 +104,14 @@ def from_python(fn, value_type: str = "string", inputs=("name", "category"), ver
         except Exception as exc:                       # noqa: BLE001 - one row's failure
             return None, f"{type(exc).__name__}: {exc}"
 
-    @F.pandas_udf(schema)
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
+    def rows(frame):
         return pd.DataFrame([contained(row) for row in frame.itertuples(index=False, name=None)],
                             columns=["value", "error"])
 
+    # Annotations are set as objects: the module's are postponed to text.
+    rows.__annotations__ = {"frame": pd.DataFrame, "return": pd.DataFrame}
+    run = F.pandas_udf(rows, schema)
+
     def build(_ctx: Context) -> Column:
         got = run(F.struct(*[F.col(c) for c in inputs]))
         failed = got["error"].isNotNull()
