@@ -115,5 +115,18 @@ def first_case(*branches, default=None) -> Column:
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
+def pinned(df: DataFrame, *cols: str) -> DataFrame:
+    """``df`` with ``cols`` computed here, once per row.
+
+    Catalyst moves a filter below a projection by writing the projected
+    expression into it, at every place it is read. For columns derived from
+    columns that multiplies without end. A one-row ``inline`` gives the values
+    as plain attributes that nothing is rewritten through; it stays in the same
+    stage and adds no shuffle.
+    """
+    kept = [c for c in df.columns if c not in cols]
+    return df.select(*kept, F.inline_outer(F.array(F.struct(*cols)))) if cols else df
+
+
 def is_failed(sig: Column) -> Column:
     return F.coalesce(sig["error"], F.lit("")) != ""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..model import CHEAP, EXPENSIVE, FREE, TIERS, measurement
+from ..model import CHEAP, EXPENSIVE, FREE, TIERS, measurement, pinned
 
 
 @dataclass
@@ -125,8 +125,12 @@ def from_python(fn, value_type: str = "string", inputs=("name", "category"), ver
     return build
 
 
-def add_signals(df: DataFrame, names, ctx: Context, into: str = "signals") -> DataFrame:
-    """``df`` with the named signals added to its ``signals`` struct."""
+def add_signals(df: DataFrame, names, ctx: Context, into: str = "signals", pin=()) -> DataFrame:
+    """``df`` with the named signals added to its ``signals`` struct.
+
+    The columns the signals in ``pin`` are built from are computed once: those
+    are the signals rules and scores go on to read.
+    """
     if not names:
         return df
     kept = [c for c in df.columns if c != into]
@@ -138,6 +142,8 @@ def add_signals(df: DataFrame, names, ctx: Context, into: str = "signals") -> Da
             if level < len(d.needs):
                 cols.update(d.needs[level](ctx))
         df = df.withColumns(cols)
+    held = {c for d in defs if d.name in pin for level in d.needs for c in level(ctx)}
+    df = pinned(df, *[c for c in df.columns if c in held])
     parts = [F.col(into)[n].alias(n) for n in have if n not in names]
     parts += [d.build(ctx).alias(d.name) for d in defs]
     return df.select(*kept, F.struct(*parts).alias(into))

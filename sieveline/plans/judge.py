@@ -42,7 +42,7 @@ def measure_free(listings: DataFrame, brief: Brief, tally: bool = True,
             listings = free_signals.with_chain_tally(listings, tally_table)
         else:
             listings = free_signals.with_chain_key(listings).withColumn("_chain_n", F.lit(None).cast("long"))
-    df = registry.add_signals(listings, names, brief.context())
+    df = registry.add_signals(listings, names, brief.context(), pin=brief.referenced)
     if "signals" not in df.columns:
         df = df.withColumn("signals", F.struct(F.lit(None).cast("string").alias("_none")))
     return df.drop("_chain_key", "_chain_n")

@@ -26,9 +26,7 @@ def verdicts(spark, sf, brief=None):
 
 def ruled(spark, sf, *rule, only=("reviews", "liveness", "contactable", "rating_band", "web_presence",
                                   "review_velocity", "establishment_age")):
-    used = {r.get("signal", "").split(".")[0] for r in rule}
-    for r in rule:
-        used |= {m["signal"].split(".")[0] for m in r.get("of", [])}
+    used = Brief(filters=list(rule)).referenced
     m = measure_free(I.listings(spark, sf), B.measuring(only=[n for n in only if n in used]))
     return rules.evaluate(m, list(rule)).select("cid", "outcome", "rejected_by")
 
@@ -168,7 +166,7 @@ def g2(spark, sf):
 
 
 @query("g3_scaled_weights", f"""WITH {I.LISTINGS_CTE},\n{O.chain_cte('listings')} SELECT cid,
-    round(coalesce(30.0::DOUBLE * (least(review_count, 10)::DOUBLE / 10.0::DOUBLE), 0), 2) AS linear,
+    round(CASE WHEN review_count IS NULL THEN 0.0::DOUBLE ELSE 30.0::DOUBLE * (least(review_count, 10)::DOUBLE / 10.0::DOUBLE) END, 2) AS linear,
     round(CASE WHEN chain_key = '' THEN 0.0::DOUBLE ELSE 25.0::DOUBLE * (1.0::DOUBLE - log10(least(coalesce(brand_n, chain_n), 1000)::DOUBLE + 1.0::DOUBLE)
       / log10(1001.0::DOUBLE)) END, 2) AS inverted FROM chained""")
 def g3(spark, sf):
@@ -199,9 +197,9 @@ def g5(spark, sf):
 
 
 @query("g6_rescore", O.dentists("""SELECT cid, round((0.0::DOUBLE + 60.0::DOUBLE * (least(review_count, 20)::DOUBLE / 20.0::DOUBLE)
-    + 40.0::DOUBLE) / 100.0::DOUBLE * 100.0::DOUBLE, 1) AS score, CASE WHEN round((0.0::DOUBLE + 60.0::DOUBLE *
-    (least(review_count, 20)::DOUBLE / 20.0::DOUBLE) + 40.0::DOUBLE) / 100.0::DOUBLE * 100.0::DOUBLE, 1) >= 75 THEN 'hot' ELSE 'cold' END AS band
-  FROM verdicts WHERE outcome = 'qualified'"""))
+    + CASE WHEN REACH THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END) / 100.0::DOUBLE * 100.0::DOUBLE, 1) AS score, CASE WHEN round((0.0::DOUBLE + 60.0::DOUBLE *
+    (least(review_count, 20)::DOUBLE / 20.0::DOUBLE) + CASE WHEN REACH THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END) / 100.0::DOUBLE * 100.0::DOUBLE, 1) >= 75 THEN 'hot' ELSE 'cold' END AS band
+  FROM verdicts WHERE outcome = 'qualified'""".replace("REACH", REACH)))
 def g6(spark, sf):
     return scoring.rescore(verdicts(spark, sf), {"reviews": {"weight": 60, "cap": 20}, "contactable": 40, }, bands=[
         {"min": 75, "label": "hot"}, {"from": 0, "label": "cold"}]).select("cid", "score", "band")
