@@ -3,6 +3,10 @@
 A running total over all rows is taken in two steps: totals per block of the
 order key, then rows within their block plus what came before it. The blocks
 are few by construction, so their totals are a bounded table.
+
+The input is read more than once (its range, its block totals, its rows). Give
+these operators a table, or a cheap scan; ``session.settle`` makes one of an
+expensive plan.
 """
 
 from __future__ import annotations
@@ -23,7 +27,8 @@ def _blocked(df: DataFrame, order: str, blocks: int, per: str | None = None) ->
         from .matching import lookup
         out = lookup(df, span, per, spread=order)
     else:
-        out = df.withColumns({"_lo": span.select("_lo").scalar(), "_hi": span.select("_hi").scalar()})
+        ends = span.select(F.struct("_lo", "_hi")).scalar()
+        out = df.withColumns({"_lo": ends["_lo"], "_hi": ends["_hi"]})
     width = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(blocks)))
     return out.withColumn("_block", F.floor((F.col(order) - F.col("_lo")) / width)).drop("_lo", "_hi")
 

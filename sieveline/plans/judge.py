@@ -84,7 +84,10 @@ def measure_paid(df: DataFrame, brief: Brief, inputs: Inputs, tier: str) -> Data
         for f in df.schema["signals"].dataType:
             fresh = F.col("signals")[f.name]
             if f.name in held:
-                fresh = F.coalesce(F.col("_old")[f.name].cast(f.dataType), fresh)
+                old = F.col("_old")[f.name]
+                if df.schema["_old"].dataType[f.name].dataType.simpleString() != f.dataType.simpleString():
+                    old = F.from_json(F.to_json(old), f.dataType)      # stored by another version
+                fresh = F.coalesce(old, fresh)
             fields.append(fresh.alias(f.name))
         df = df.withColumn("signals", F.struct(*fields))
     return df.select(*base)
@@ -173,7 +176,8 @@ def run(listings: DataFrame, brief: Brief, inputs: Inputs | None = None, **kw) -
     breaker or the result cap). Nothing is dropped uncounted."""
     inputs = inputs or Inputs()
     df = judge(listings, brief, inputs, **kw)
-    df = memory.mark_unchanged(df, inputs.prior_verdicts)
+    # Verdicts are written anyway; what depends on their order reads the file.
+    df = settle(memory.mark_unchanged(df, inputs.prior_verdicts), "judged")
     return ordered.apply_limits(df, brief.limits.get("max_results"), **brief.breaker)
 
 

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sieveline import Brief, Inputs, judge
-from sieveline.functions import values as V
-from sieveline.model import conform
-from sieveline.operators import (health, listings, memory, ordered, page_signals, places, registry, reviews,
+from sieveline.model import LISTING_FIELDS
+from sieveline.operators import (health, listings, memory, ordered, page_signals, places, reviews,
                                  rules, scoring, shaping, stats)
 from sieveline.plans.judge import estimate, measure_free, requalify, run
+from sieveline.session import settle
 from sieveline.sinks import ledger
 from workload import briefs as B
 from workload import inputs as I
@@ -22,6 +22,11 @@ def verdicts(spark, sf, brief=None):
     return judge(I.listings(spark, sf), brief or B.dentists(), dedupe=False)
 
 
+def stored(spark, sf, *cols):
+    """An earlier run under stricter rules, read back from where it was written."""
+    return settle(verdicts(spark, sf, B.stricter()).select(*cols), "stored-run")
+
+
 # ---- rules ------------------------------------------------------------------
 
 def ruled(spark, sf, *rule, only=("reviews", "liveness", "contactable", "rating_band", "web_presence",
@@ -209,8 +214,8 @@ def g6(spark, sf):
    JOIN old o USING (cid) WHERE n.outcome <> o.outcome"""))
 def g7(spark, sf):
     """A stored run judged by today's rules: what would change."""
-    stored = verdicts(spark, sf, B.stricter())
-    return memory.changes(stored, requalify(stored, B.dentists())).select("cid", "name", "was", "now")
+    old = stored(spark, sf, *LISTING_FIELDS, "outcome")
+    return memory.changes(old, requalify(old, B.dentists())).select("cid", "name", "was", "now")
 
 
 @query("g8_estimate", SITES + """, t AS (SELECT count(*) AS n, count(*) FILTER (WHERE page_id >= 10) AS alive FROM m)
@@ -290,7 +295,8 @@ def w2(spark, sf):
    OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM verdicts)
    WHERE coalesce(before, 0) < 20"""))
 def w4(spark, sf):
-    return ordered.result_cap(verdicts(spark, sf), 20).select("cid", "outcome")
+    judged = settle(verdicts(spark, sf).select("cid", "ord", "outcome"), "judged")
+    return ordered.result_cap(judged, 20).select("cid", "outcome")
 
 
 @query("w5_spend_budget", f"""WITH {I.SITE_CTE}, s AS (SELECT cid, sum(requests) OVER (ORDER BY page_id) AS spent FROM site
@@ -389,7 +395,7 @@ def j1(spark, sf):
 @query("j2_unchanged", O.two_runs("""SELECT n.cid, n.outcome, n.outcome = o.outcome AS hidden, n.outcome <> o.outcome AS resurfaced
    FROM verdicts n JOIN old o USING (cid)"""))
 def j2(spark, sf):
-    prior = verdicts(spark, sf, B.stricter()).select("cid", "outcome")
+    prior = stored(spark, sf, "cid", "outcome")
     return memory.mark_unchanged(verdicts(spark, sf), prior).select("cid", "outcome", "hidden", "resurfaced")
 
 
@@ -401,8 +407,8 @@ def j3(spark, sf):
 @query("j4_overlay", O.two_runs("""SELECT cid, outcome, 'new' AS origin FROM verdicts WHERE ord % 3 = 0
    UNION ALL SELECT cid, outcome, 'old' FROM old WHERE ord % 3 <> 0"""))
 def j4(spark, sf):
-    old = verdicts(spark, sf, B.stricter()).withColumn("origin", F.lit("old"))
-    new = verdicts(spark, sf).withColumn("origin", F.lit("new")).filter("ord % 3 = 0")
+    old = stored(spark, sf, "cid", "ord", "outcome").withColumn("origin", F.lit("old"))
+    new = verdicts(spark, sf).select("cid", "ord", "outcome").withColumn("origin", F.lit("new")).filter("ord % 3 = 0")
     return memory.overlay(old, new).select("cid", "outcome", "origin")
 
 
@@ -412,19 +418,19 @@ def j5(spark, sf):
     """Paid answers come from the stored run; no page is looked at again."""
     brief = Brief.of({"sources": B.FILE, "filters": [{"signal": "reviews", "op": ">=", "value": 10}],
                       "scoring": {"weights": {"site_https": 10}}}, I.YEAR)
-    stored = judge(I.page_listings(spark, sf), brief, Inputs(site_pages=I.site_pages(spark, sf), now=NOW), dedupe=False)
-    again = requalify(stored, brief)
+    old = settle(judge(I.page_listings(spark, sf), brief, Inputs(site_pages=I.site_pages(spark, sf), now=NOW), dedupe=False))
+    again = requalify(old, brief)
     return again.filter(F.col("rejected_by").isNull()).select("cid", F.col("signals")["site_https"]["vbool"].alias("https"))
 
 
 @query("j12_place_boxes", f"""WITH {I.LISTINGS_CTE}, boxes AS (SELECT n_nationkey AS pos, 'box ' || n_name AS place,
-    n_nationkey * 5.0 - 70.5 AS south, n_nationkey * 5.0 - 60.25 AS north, n_nationkey * 10.0 - 150.5 AS west, n_nationkey * 10.0 - 120.25 AS east FROM nation)
+    n_nationkey * 5.0 - 70.5 AS south, n_nationkey * 5.0 - 60.25 AS north, n_nationkey * 5.0 - 165.5 AS west, n_nationkey * 5.0 - 150.25 AS east FROM nation)
    SELECT cid, arg_min(place, pos) AS place FROM listings JOIN boxes ON lat BETWEEN south AND north AND lng BETWEEN west AND east GROUP BY cid""")
 def j12(spark, sf):
     n = F.col("n_nationkey")
     boxes = I.read(spark, sf, "nation").select(
         n.alias("pos"), F.concat(F.lit("box "), F.col("n_name")).alias("place"), (n * 5.0 - 70.5).alias("south"),
-        (n * 5.0 - 60.25).alias("north"), (n * 10.0 - 150.5).alias("west"), (n * 10.0 - 120.25).alias("east"))
+        (n * 5.0 - 60.25).alias("north"), (n * 5.0 - 165.5).alias("west"), (n * 5.0 - 150.25).alias("east"))
     points = I.listings(spark, sf).withColumn("place_label", F.lit(None).cast("string"))
     return places.in_boxes(points, boxes, 5.0).select("cid", F.col("place_label").alias("place"))
 
@@ -432,7 +438,7 @@ def j12(spark, sf):
 @query("j13_a10_transitions", O.two_runs("""SELECT o.outcome AS was, n.outcome AS now, count(*) AS n FROM verdicts n JOIN old o USING (cid)
    WHERE n.outcome <> o.outcome GROUP BY ALL"""))
 def j13(spark, sf):
-    return memory.transitions(verdicts(spark, sf, B.stricter()), verdicts(spark, sf))
+    return memory.transitions(stored(spark, sf, "cid", "outcome"), verdicts(spark, sf))
 
 
 HEXED = "'0x1a:0x' || lower(to_hex(ord)) AS hex"
@@ -640,7 +646,7 @@ def a18(spark, sf):
    count(*) FILTER (WHERE n.outcome = o.outcome) AS hidden_soft, count(*) FILTER (WHERE n.outcome <> o.outcome) AS resurfaced
    FROM verdicts n JOIN old o USING (cid)"""))
 def a20(spark, sf):
-    prior = verdicts(spark, sf, B.stricter()).select("cid", "outcome")
+    prior = stored(spark, sf, "cid", "outcome")
     return memory.suppression_report(I.listings(spark, sf), verdicts(spark, sf), I.suppressions(spark, sf), prior)
 
 
@@ -653,16 +659,16 @@ def a21(spark, sf):
 
 @query("t0_run_with_limits", O.two_runs("""SELECT cid, fate FROM (SELECT n.cid, n.ord, n.outcome = o.outcome AS hidden,
      min(CASE WHEN n.outcome <> o.outcome AND q >= 15 THEN n.ord END) OVER () AS cap,
-     (SELECT min(ord) FROM (SELECT ord, avg(broken::INT) OVER w AS r, count(*) OVER w AS c FROM verdicts
-       WINDOW w AS (ORDER BY ord ROWS 19 PRECEDING)) WHERE c >= 10 AND r >= 0.6) AS trip,
      CASE WHEN n.ord > least(coalesce(trip, 1000000000), coalesce(cap, 1000000000)) THEN 'unreached'
           WHEN hidden THEN 'hidden' ELSE 'shown' END AS fate
-   FROM (SELECT *, sum((outcome = 'qualified')::INT) OVER (ORDER BY ord) AS q FROM verdicts) n JOIN old o USING (cid))"""))
+   FROM (SELECT *, sum((outcome = 'qualified')::INT) OVER (ORDER BY ord) AS q FROM verdicts) n JOIN old o USING (cid)
+     CROSS JOIN (SELECT min(ord) AS trip FROM (SELECT ord, avg(broken::INT) OVER w AS r, count(*) OVER w AS c FROM verdicts
+       WINDOW w AS (ORDER BY ord ROWS 19 PRECEDING)) WHERE c >= 10 AND r >= 0.6) AS tr)"""))
 def run_with_limits(spark, sf):
     """A whole run: unchanged rows withheld, stopped by the cap or the breaker."""
     brief = B.dentists()
     brief.limits = {"max_results": 15, "breaker": {"rate": 0.6}}
-    prior = verdicts(spark, sf, B.stricter()).select("cid", "outcome")
+    prior = stored(spark, sf, "cid", "outcome")
     return run(I.listings(spark, sf), brief, Inputs(prior_verdicts=prior), dedupe=False).select("cid", "fate")
 
 
@@ -672,5 +678,3 @@ def d3(spark, sf):
     brief = B.measuring(only=["rating_band"], rating_band={"scale": 10, "min_reviews": 2, "bands": {"low": 1, "high": 3}})
     return measure_free(I.listings(spark, sf), brief).select("cid", F.col("signals")["rating_band"]["vstr"].alias("vstr"))
 
-
-__all__ = ["V", "conform", "registry"]
