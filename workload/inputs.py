@@ -178,7 +178,7 @@ def reviews(spark: SparkSession, sf: str) -> DataFrame:
 
 REVIEWS_CTE = """reviews0 AS (
   SELECT CASE WHEN o_orderkey % 13 <> 0 THEN CAST(o_orderkey AS VARCHAR) END AS id,
-    'cust:' || o_custkey AS cid, o_orderdate AS at, CAST(o_orderpriority[1] AS INT) AS rating, o_orderkey AS ord
+    'cust:' || o_custkey AS cid, o_orderdate AS made, CAST(o_orderpriority[1] AS INT) AS rating, o_orderkey AS ord
   FROM orders),
 reviews AS (SELECT * FROM reviews0 UNION ALL
   SELECT * REPLACE (ord + 1000000000 AS ord) FROM reviews0 WHERE ord % 9 = 0)"""

@@ -238,27 +238,9 @@ def p12(spark, sf):
 @query("o1_best_first", O.dentists("""SELECT cid, name, outcome, score, rejected_by,
    row_number() OVER (ORDER BY outcome = 'qualified' DESC, coalesce(score, 0) DESC, ord) AS place FROM verdicts"""))
 def o1(spark, sf):
-    """Every listing judged and ranked: the flagship query. The place is a
-    count in order, taken without gathering the rows in one task."""
-    v = shaping.best_first(verdicts(spark, sf), include_rejected=True)
-    return placed(v.select("cid", "name", "outcome", "score", "rejected_by", "ord")).drop("ord")
-
-
-def placed(v):
-    """Adds ``place``: qualified first, score, then discovery order.
-
-    Rows of one outcome class and score share a place range, so places are a
-    running total over the few distinct scores plus a count inside each.
-    """
-    key = F.when(F.col("outcome") == "qualified",
-                 F.lit(2000) - F.round(F.coalesce("score", F.lit(0.0)) * 10)).otherwise(F.lit(3000))
-    v = v.withColumn("_class", key.cast("long"))
-    sizes = v.groupBy("_class").agg(F.count(F.lit(1)).alias("_n"))
-    before = ordered.running_total(sizes, "_class", {"_upto": F.col("_n")}).select(
-        "_class", (F.col("_upto") - F.col("_n")).alias("_before"))
-    inside = ordered.numbered(v, "ord", "_rn", per="_class")
-    return inside.join(F.broadcast(before), "_class").withColumn(
-        "place", F.col("_before") + F.col("_rn")).drop("_class", "_before", "_rn")
+    """Every listing judged and ranked: the flagship query."""
+    judged = verdicts(spark, sf).select("cid", "name", "outcome", "score", "rejected_by", "ord")
+    return shaping.placed(settle(judged, "judged")).drop("ord")
 
 
 @query("o2_shape_top", O.dentists("""SELECT cid, score FROM verdicts WHERE coalesce(score, 0) >= 60
@@ -368,14 +350,14 @@ def w9_cap(spark, sf):
     return reviews.distinct_reviews(I.reviews(spark, sf), cap=4).select("cid", "id", "ord")
 
 
-@query("a12_review_rollup", f"""WITH {I.REVIEWS_CTE} SELECT cid, count(*)::INT AS reviews_fetched, min(year(at))::INT AS first_review_year,
+@query("a12_review_rollup", f"""WITH {I.REVIEWS_CTE} SELECT cid, count(*)::INT AS reviews_fetched, min(year(made))::INT AS first_review_year,
    avg(rating) AS avg_rating, """ + ", ".join(f"count(*) FILTER (WHERE rating = {s}) AS stars_{s}" for s in range(1, 6)) + """
    FROM reviews GROUP BY cid""")
 def a12(spark, sf):
     return reviews.rollup(I.reviews(spark, sf))
 
 
-@query("a12_review_facts", f"""WITH {I.LISTINGS_CTE}, {I.REVIEWS_CTE}, f AS (SELECT cid, count(*)::INT AS n, min(year(at))::INT AS y
+@query("a12_review_facts", f"""WITH {I.LISTINGS_CTE}, {I.REVIEWS_CTE}, f AS (SELECT cid, count(*)::INT AS n, min(year(made))::INT AS y
    FROM reviews GROUP BY cid) SELECT l.cid, coalesce(reviews_fetched, n)::INT AS reviews_fetched,
    coalesce(first_review_year, y)::INT AS first_review_year FROM listings l LEFT JOIN f USING (cid)""")
 def a12_facts(spark, sf):
