@@ -81,10 +81,14 @@ class Landed:
 # ---- telling what a file is -------------------------------------------------
 
 def _head(spark: SparkSession, path: str, lines: int = 2) -> list[bytes]:
-    """The first non-blank lines as bytes. Only the first split is read."""
-    rows = (spark.read.text(path).select(F.col("value").cast("binary").alias("b"))
-            .filter(F.length(F.trim(F.col("b").cast("string"))) > 0).limit(lines).collect())
-    return [bytes(r.b) for r in rows]
+    """The first non-blank lines of the first file, as bytes."""
+    rows = spark.read.text(path).select(F.col("value").cast("binary").alias("b"),
+                                        F.col("_metadata.file_path").alias("f")) \
+        .filter(F.length(F.trim(F.col("b").cast("string"))) > 0)
+    first = rows.first()
+    if first is None:
+        return []
+    return [bytes(r.b) for r in rows.filter(F.col("f") == first.f).limit(lines).collect()]
 
 
 def encoding_of(head: bytes) -> str:

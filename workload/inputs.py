@@ -247,7 +247,7 @@ def runs(spark: SparkSession, sf: str) -> DataFrame:
                     (key * 100).cast("double").alias("started"), key, F.col("s_acctbal"),
                     state.alias("state"), stats.alias("stats"))
     final = base.select("run_id", "name", "state", "started",
-                        F.when(F.col("state") != "running", F.col("started") + F.abs("s_acctbal")).alias("finished"),
+                        F.when(F.col("state") != "running", F.col("started") + F.floor(F.abs("s_acctbal"))).alias("finished"),
                         "stats", F.lit(2).cast("long").alias("version"))
     early = base.select("run_id", "name", F.lit("running").alias("state"), "started",
                         F.lit(None).cast("double").alias("finished"), F.lit("{}").alias("stats"),
@@ -262,5 +262,5 @@ RUNS_CTE = """runs0 AS (
   FROM supplier),
 runs AS (
   SELECT run_id, name, state, started,
-    CASE WHEN state <> 'running' THEN started + ABS(s_acctbal) END AS finished, k
+    CASE WHEN state <> 'running' THEN started + FLOOR(ABS(s_acctbal)) END AS finished, k
   FROM runs0)"""

@@ -51,6 +51,8 @@ EXPORT_SQL = """SELECT CASE WHEN k % 3 <> 0 THEN '0x1a:0x' || lower(to_hex(k)) E
    (k * 1000)::INT AS review_count, CASE WHEN k % 4 <> 0 THEN c_acctbal END AS rating,
    CASE WHEN k % 7 = 0 THEN 'Permanently closed' ELSE 'OPERATIONAL' END AS status_raw
  FROM (SELECT *, c_custkey AS k FROM customer) WHERE k % 10 <> 9"""
+# a record names all its fields, empty ones too
+KEEP_NULLS = {"ignoreNullFields": "false"}
 EXPORT_FIELDS = ["cid", "name", "category", "review_count", "rating", "status_raw"]
 
 
@@ -76,7 +78,7 @@ def s2(spark, sf):
 def s4(spark, sf):
     """One object per line, with torn lines among them."""
     path = folder(spark, "jsonl")
-    good = export(spark, sf).select(F.to_json(F.struct("*")).alias("value"))
+    good = export(spark, sf).select(F.to_json(F.struct("*"), KEEP_NULLS).alias("value"))
     good.unionByName(good.select(F.concat(F.lit('{"torn": '), F.length("value").cast("string")).alias("value"))) \
         .write.text(path)
     return landed.read_listings(spark, path).select(*EXPORT_FIELDS)
@@ -86,7 +88,7 @@ def _documents(spark, sf, shape):
     """Customers of each nation as one JSON document per file."""
     rows = export(spark, sf).withColumn("g", F.abs(F.hash("title")) % 16).groupBy("g").agg(
         F.to_json(F.collect_list(F.struct("place_id", "title", "category", "reviews", "rating", "link",
-                                          "permanently_closed", "status"))).alias("rows"))
+                                          "permanently_closed", "status")), KEEP_NULLS).alias("rows"))
     path = folder(spark, "json")
     # one document per file
     rows.select(shape(F.col("rows")).alias("value"), "g").repartition(16, "g").write.partitionBy("g").text(path)
