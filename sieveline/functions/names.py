@@ -55,7 +55,7 @@ def fold_compatibility(col: Column) -> Column:
     chars, forms = word_list(wide), word_list(wide.values())
     spelled = F.array_join(F.transform(F.split(plain, ""), lambda ch: F.coalesce(
         F.try_element_at(forms, F.nullif(F.array_position(chars, ch), F.lit(0)).cast("int")), ch)), "")
-    holds_wide = plain.rlike("[" + "".join(wide) + "]")
+    holds_wide = F.length(F.translate(plain, "".join(wide), "")) < F.length(plain)
     return (F.when(col.rlike(ASCII_ONLY), col)
             .when(holds_wide, spelled)
             .otherwise(plain))
@@ -107,15 +107,13 @@ def brand_size(place: Column, brands: dict[str, int] | None = None) -> Column:
 
 
 @lru_cache(maxsize=1)
-def script_classes() -> dict[str, str]:
-    """script -> regex character class, by rule from character names: the first
+def script_spans() -> dict[str, list[list[int]]]:
+    """script -> ranges of its letters, by rule from character names: the first
     script whose word starts the name, or stands in it after a blank."""
     runs: dict[str, list[list[int]]] = {label: [] for label, _ in SCRIPT_WORDS}
     for cp in range(0x41, 0x30000):
-        if 0xD800 <= cp <= 0xDFFF:
-            continue
         ch = chr(cp)
-        if not ch.isalpha():
+        if 0xD800 <= cp <= 0xDFFF or not ch.isalpha():
             continue
         title = unicodedata.name(ch, "")
         for label, word in SCRIPT_WORDS:
@@ -126,22 +124,36 @@ def script_classes() -> dict[str, str]:
                 else:
                     spans.append([cp, cp])
                 break
-    return {label: "[" + "".join(
-        "\\x{%x}" % a if a == b else "\\x{%x}-\\x{%x}" % (a, b) for a, b in spans) + "]"
-        for label, spans in runs.items()}
+    return runs
+
+
+def script_class(label: str) -> str:
+    return "[" + "".join("\\x{%x}-\\x{%x}" % (a, b) for a, b in script_spans()[label]) + "]"
 
 
 # One mark per script, none of them a letter.
 SCRIPT_MARKS = dict(zip([label for label, _ in SCRIPT_WORDS], "0123456789:;<="))
 
 
+# Scripts of tens of thousands of letters in few ranges: matched by range. All
+# other letters are looked up one by one.
+BY_RANGE = ("han", "hangul")
+
+
+@lru_cache(maxsize=1)
+def _letter_marks() -> tuple[str, str]:
+    pairs = [(chr(cp), SCRIPT_MARKS[label]) for label, spans in script_spans().items() if label not in BY_RANGE
+             for a, b in spans for cp in range(a, b + 1)]
+    return "".join(c for c, _ in pairs), "".join(m for _, m in pairs)
+
+
 def script_marks(name: Column) -> Column:
     """The letters of ``name``, each written as its script's mark; a letter of
-    no listed script stays itself. One pass per script, for non-ASCII names."""
+    no listed script stays itself."""
     plain = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z]", ""), "[A-Za-z]", SCRIPT_MARKS["latin"])
-    spelled = F.regexp_replace(name, r"[^\p{L}]", "")
-    for label, cls in script_classes().items():
-        spelled = F.regexp_replace(spelled, cls, SCRIPT_MARKS[label])
+    spelled = F.translate(F.regexp_replace(name, r"[^\p{L}]", ""), *_letter_marks())
+    for label in BY_RANGE:
+        spelled = F.regexp_replace(spelled, script_class(label), SCRIPT_MARKS[label])
     return F.when(name.rlike(ASCII_ONLY), plain).otherwise(spelled)
 
 

@@ -13,6 +13,14 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Judging a row costs far more than shipping it: keep cores busy on small
+    # shuffles. Large ones are still cut by the advisory size.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
+    # A verdict has more (nested) fields than the default for fused code.
+    "spark.sql.codegen.maxFields": "400",
+    # The JVM leaves methods beyond 8000 bytes uncompiled. A fused stage that
+    # grows past that runs as separate, compiled projections instead.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.sql.optimizer.runtime.bloomFilter.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",

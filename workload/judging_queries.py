@@ -15,7 +15,7 @@ from workload import briefs as B
 from workload import inputs as I
 from workload import oracle_parts as O
 from workload.registry import query
-from workload.signal_queries import NOW, PHRASES, READABLE, WORDS
+from workload.signal_queries import PHRASES, READABLE, WORDS, now
 
 
 def verdicts(spark, sf, brief=None):
@@ -132,7 +132,7 @@ SITES = f"""WITH {I.SITE_CTE}, m AS (SELECT *, page_id AS n,
       + 30.0::DOUBLE * (log10(least(n, 300)::DOUBLE + 1) / log10(301.0::DOUBLE))) / 80.0::DOUBLE * 100.0::DOUBLE, 1) END AS score FROM v""")
 def r9(spark, sf):
     """Page rules judge only what the free rules left; every row settles once."""
-    return judge(I.page_listings(spark, sf), B.site_brief(), Inputs(site_pages=I.site_pages(spark, sf), now=NOW),
+    return judge(I.page_listings(spark, sf), B.site_brief(), Inputs(site_pages=I.site_pages(spark, sf), now=now()),
                  dedupe=False).select("cid", "outcome", "rejected_by", "score")
 
 
@@ -285,7 +285,7 @@ def w4(spark, sf):
    WHERE website IS NOT NULL) SELECT cid, spent::BIGINT AS spent, spent <= 120 AS affordable FROM s""")
 def w5(spark, sf):
     """Lookups in discovery order until 120 are charged."""
-    df = page_signals.with_pages(I.page_listings(spark, sf), page_signals.site_facts(I.site_pages(spark, sf), F.lit(I.YEAR), NOW), False)
+    df = page_signals.with_pages(I.page_listings(spark, sf), page_signals.site_facts(I.site_pages(spark, sf), F.lit(I.YEAR), now()), False)
     paid = df.filter(F.col("_page_url").isNotNull()).select("cid", "ord", F.col("_page")["requests"].alias("requests"))
     return ordered.within_budget(paid, F.col("requests"), 120).select("cid", "spent", "affordable")
 
@@ -400,7 +400,7 @@ def j5(spark, sf):
     """Paid answers come from the stored run; no page is looked at again."""
     brief = Brief.of({"sources": B.FILE, "filters": [{"signal": "reviews", "op": ">=", "value": 10}],
                       "scoring": {"weights": {"site_https": 10}}}, I.YEAR)
-    old = settle(judge(I.page_listings(spark, sf), brief, Inputs(site_pages=I.site_pages(spark, sf), now=NOW), dedupe=False))
+    old = settle(judge(I.page_listings(spark, sf), brief, Inputs(site_pages=I.site_pages(spark, sf), now=now()), dedupe=False))
     again = requalify(old, brief)
     return again.filter(F.col("rejected_by").isNull()).select("cid", F.col("signals")["site_https"]["vbool"].alias("https"))
 
@@ -635,7 +635,7 @@ def a20(spark, sf):
 @query("a21_spend", f"""WITH {I.SITE_CTE} SELECT sum(requests)::BIGINT AS requests, count(*) AS answers, count(*) FILTER (WHERE requests = 0) AS from_cache
    FROM site WHERE website IS NOT NULL""")
 def a21(spark, sf):
-    df = page_signals.with_pages(I.page_listings(spark, sf), page_signals.site_facts(I.site_pages(spark, sf), F.lit(I.YEAR), NOW), False)
+    df = page_signals.with_pages(I.page_listings(spark, sf), page_signals.site_facts(I.site_pages(spark, sf), F.lit(I.YEAR), now()), False)
     return stats.spend(df.filter(F.col("_page").isNotNull()).select(F.col("_page")["requests"].alias("requests")))
 
 

@@ -257,11 +257,14 @@ def a19(spark, sf):
 
 # ---- pages ------------------------------------------------------------------
 
-NOW = F.timestamp_seconds(F.lit(1767312000))
+def now():
+    """The moment pages are fresh against."""
+    return F.timestamp_seconds(F.lit(1767312000))
+
 
 
 def facts(spark, sf):
-    return page_signals.site_facts(I.site_pages(spark, sf), F.lit(I.YEAR), NOW)
+    return page_signals.site_facts(I.site_pages(spark, sf), F.lit(I.YEAR), now())
 
 
 def with_site(spark, sf, *signals, hop=False):
@@ -468,7 +471,7 @@ def j10(spark, sf):
     n = F.col("page_id").cast("string")
     owners = I.conform(I.read(spark, sf, "pages").select(
         F.concat(F.lit("hop:"), n).alias("cid"), F.concat(F.lit("https://h"), n, F.lit(".org")).alias("website")))
-    shown = page_signals.site_facts(hop_pages(spark, sf), F.lit(I.YEAR), NOW)
+    shown = page_signals.site_facts(hop_pages(spark, sf), F.lit(I.YEAR), now())
     df = page_signals.with_mail_check(page_signals.with_pages(owners, shown), None)
     return registry.add_signals(df, ["site_contact"], registry.Context()).select(
         "cid", *sig("site_contact", "vstr", "e.contact_page"))
@@ -547,8 +550,8 @@ def s25(spark, sf):
     p = I.read(spark, sf, "pages")
     days = F.make_dt_interval((F.col("page_id") % 20).cast("int"))
     landed = p.select(F.lower("url").alias("url"), F.col("page_id").cast("string").alias("final_url"),
-                      F.lit(None).cast("string").alias("error"), (NOW - days).alias("fetched_at"), "page_id")
-    out = page_signals.latest_fresh(landed.withColumn("k", F.col("url")), NOW, 7)
+                      F.lit(None).cast("string").alias("error"), (now() - days).alias("fetched_at"), "page_id")
+    out = page_signals.latest_fresh(landed.withColumn("k", F.col("url")), now(), 7)
     return out.select(F.col("k").alias("url"), "page_id")
 
 
