@@ -154,14 +154,20 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # the same, as columns over pages
-SITE_CTE = """site AS (
-  SELECT page_id, 'page:' || page_id AS cid, url, html,
-    CASE WHEN page_id % 10 = 9 THEN NULL ELSE url END AS website,
+SITE_CTE = """landed AS (
+  SELECT page_id, url, html, regexp_replace(url, '#.*', '') AS address,
     CASE page_id % 10 WHEN 3 THEN 404 WHEN 5 THEN 503 WHEN 7 THEN 403 ELSE 200 END AS status,
     CASE WHEN page_id % 10 = 1 THEN 'timed out'
          WHEN page_id % 50 = 21 THEN 'certificate verify failed' END AS error,
     CASE WHEN page_id % 4 = 0 THEN 0 ELSE 1 END AS requests
-  FROM pages)"""
+  FROM pages),
+answers AS (  -- one answer per address
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY address ORDER BY error IS NOT NULL, url) AS rn FROM landed)
+  WHERE rn = 1),
+site AS (
+  SELECT l.page_id, 'page:' || l.page_id AS cid, CASE WHEN l.page_id % 10 = 9 THEN NULL ELSE l.url END AS website,
+    a.url, a.html, a.status, a.error, a.requests
+  FROM landed l JOIN answers a USING (address))"""
 
 
 def reviews(spark: SparkSession, sf: str) -> DataFrame:
