@@ -7,12 +7,18 @@ breaker stays open.
 
 from __future__ import annotations
 
+import sys
 from typing import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+# The processor travels to the executors by value: they need no copy of this
+# package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATE_STORE = ("spark.sql.streaming.stateStore.providerClass",
                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
