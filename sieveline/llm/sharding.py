@@ -24,7 +24,7 @@ from sieveline.session import settle
 from .common import read
 from .registry import query
 
-BLOCK = 20_000
+BLOCK = 2_000
 
 
 def interleave(docs: DataFrame, shards: int = 24, seed: int = 7, block: int = BLOCK) -> DataFrame:
