@@ -1,4 +1,4 @@
 """The package's queries, by importing the modules that register them."""
 
-from . import bpe, licenses, quality_rules, sharding          # noqa: F401
+from . import bpe, language, licenses, quality_rules, sharding          # noqa: F401
 from .registry import ORACLES, QUERIES         # noqa: F401
