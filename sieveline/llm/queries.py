@@ -1,4 +1,4 @@
 """The package's queries, by importing the modules that register them."""
 
-from . import bpe, decontaminate, language, licenses, quality_rules, sharding, simhash          # noqa: F401
+from . import bpe, classifier, decontaminate, language, licenses, quality_rules, sharding, simhash          # noqa: F401
 from .registry import ORACLES, QUERIES         # noqa: F401
