@@ -27,7 +27,7 @@ from .transducer import Transducer, compile_words
 # broadcast (about 40 bytes a word); all others are merged.
 LEXICON = 50_000
 COUNTED = 300_000            # distinct words a task holds before it hands its counts on
-MEMO = 200_000               # merged words a task remembers
+LONG = 64                    # bytes; longer words are merged one by one
 
 # The pattern that splits text before merging, with white space
 # spelt out as the Unicode property.
@@ -64,40 +64,49 @@ def load(path: str) -> dict:
 
 
 class Merger:
-    """Exact merging of single words."""
+    """Exact merging of words, many at a time."""
 
     def __init__(self, spec: dict):
-        self.first = spec["first"].tolist()
-        ranks = range(len(spec["keys"]))
-        self.merges = dict(zip(spec["keys"].tolist(), zip(ranks, spec["made"].tolist())))
-        self.memo: dict[bytes, list[int]] = {}
-
-    def __call__(self, word: bytes) -> list[int]:
-        got = self.memo.get(word)
-        if got is None:
-            if len(self.memo) >= MEMO:
-                self.memo.clear()
-            got = self.memo[word] = self.merge([self.first[b] for b in word])
-        return got
-
-    def merge(self, ids: list[int]) -> list[int]:
-        """The best-ranked pair first, the leftmost of equals, until none is left."""
-        if len(ids) > 48:
-            return self.merge_long(ids)
-        merges = self.merges
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                m = merges.get(ids[i] << 20 | ids[i + 1])
-                if m is not None and (best is None or m[0] < best[0]):
-                    best, at = m, i
-            if best is None:
-                break
-            ids[at:at + 2] = [best[1]]
-        return ids
+        self.first = spec["first"]
+        order = np.argsort(spec["keys"])
+        self.keys, self.rank, self.made = spec["keys"][order], order, spec["made"][order]
+        self.merges = dict(zip(spec["keys"].tolist(), zip(range(len(order)), spec["made"].tolist())))
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words as a ragged table.
+
+        Each round merges, in every word at once, the best-ranked pair and the
+        leftmost of equals, until a word has none left.
+        """
+        long = [i for i, w in enumerate(words) if len(w) > LONG]
+        size = np.fromiter((0 if len(w) > LONG else len(w) for w in words), np.int64, len(words))
+        ids = self.first[np.frombuffer(b"".join(w for w in words if len(w) <= LONG), np.uint8)]
+        owner = np.repeat(np.arange(len(words)), size)
+        done = [(np.full(len(r), i), np.array(r, np.int64)) for i in long
+                for r in [self.merge_long(self.first[np.frombuffer(words[i], np.uint8)].tolist())]]
+        none = np.int64(1) << 62
+        while len(ids):
+            key = np.concatenate([ids[:-1] << 20 | ids[1:], [0]])
+            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            hit = (self.keys[at] == key) & np.concatenate([owner[1:] == owner[:-1], [False]])
+            score = np.where(hit, self.rank[at] << 32 | np.arange(len(ids)), none)
+            start = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+            best = np.minimum.reduceat(score, start)
+            place = best[best < none] & (1 << 32) - 1
+            ids[place] = self.made[at[place]]
+            stays = np.ones(len(ids), bool)
+            stays[place + 1] = False
+            alive = np.repeat(best < none, np.diff(np.concatenate([start, [len(ids)]])))
+            done.append((owner[~alive], ids[~alive]))
+            ids, owner = ids[alive & stays], owner[alive & stays]
+        owner = np.concatenate([np.zeros(0, np.int64), *(d[0] for d in done)])
+        flat = np.concatenate([np.zeros(0, np.int64), *(d[1] for d in done)])
+        order = np.argsort(owner, kind="stable")
+        return (np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))]).astype(np.int64),
+                flat[order].astype(np.uint32))
 
     def merge_long(self, ids: list[int]) -> list[int]:
-        """The same with a heap and links, for words of any length."""
+        """The same for one word of any length, with a heap and links."""
         n, merges = len(ids), self.merges
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
         heap = []
@@ -178,8 +187,13 @@ class Encoder:
             if w in self.special:
                 rank[i] = -1
         unseen = np.flatnonzero(rank < 0)
-        rows = [[self.special[words[i]]] if words[i] in self.special else self.merge(raw[i]) for i in unseen.tolist()]
-        extra_at, extra = table(rows)
+        extra_at, extra = self.merge([raw[i] for i in unseen.tolist()])
+        special = [k for k, i in enumerate(unseen.tolist()) if words[i] in self.special]
+        if special:
+            rows = np.split(extra, extra_at[1:-1])
+            for k in special:
+                rows[k] = [self.special[words[unseen[k]]]]
+            extra_at, extra = table(rows)
         known = len(self.lexicon.ids)
         offset = np.concatenate([self.lexicon.offset, known + extra_at[1:]])
         source = rank.copy()
@@ -238,8 +252,9 @@ def compile_lexicon(docs: DataFrame, spec: dict, size: int = LEXICON) -> bytes:
     """The transducer of the corpus's ``size`` most frequent words."""
     top = word_counts(docs, spec["special"]).orderBy(F.desc("n"), "word").limit(size)
     merge = Merger(spec)
-    words = [r.word for r in top.select("word").collect() if r.word not in spec["special"]]
-    return compile_words({w: merge(w) for w in (x.encode() for x in words)})
+    words = [r.word.encode() for r in top.select("word").collect() if r.word not in spec["special"]]
+    at, ids = Merger(spec)(words)
+    return compile_words({w: ids[a:b].tolist() for w, a, b in zip(words, at.tolist(), at[1:].tolist())})
 
 
 def encode(docs: DataFrame, path: str, size: int = LEXICON, with_ids: bool = True) -> DataFrame:
