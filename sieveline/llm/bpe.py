@@ -19,12 +19,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sieveline.session import settle
+
 from .common import map_texts, read
 from .registry import query
 from .transducer import Transducer, compile_words
 
-# Words in the lexicon: the most frequent, ties by the word. It bounds what is
-# broadcast (about 40 bytes a word); all others are merged.
+# Words in the lexicon, at most: the most frequent. It bounds what is broadcast
+# (about 40 bytes a word); all others are merged.
 LEXICON = 50_000
 COUNTED = 300_000            # distinct words a task holds before it hands its counts on
 LONG = 64                    # bytes; longer words are merged one by one
@@ -249,9 +251,20 @@ def word_counts(docs: DataFrame, special: dict[str, int]) -> DataFrame:
 
 
 def compile_lexicon(docs: DataFrame, spec: dict, size: int = LEXICON) -> bytes:
-    """The transducer of the corpus's ``size`` most frequent words."""
-    top = word_counts(docs, spec["special"]).orderBy(F.desc("n"), "word").limit(size)
-    merge = Merger(spec)
+    """The transducer of the corpus's most frequent words, ``size`` at most.
+
+    A histogram of counts, in steps of a few per cent, says from which count on
+    words fit; only those come to the driver.
+    """
+    counted = settle(word_counts(docs, spec["special"]), "word-counts")
+    step = F.floor(F.log2("n") * 16)
+    seen, least = 0, None
+    for row in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
+        seen += row.words
+        if seen > size:
+            break
+        least = row.step
+    top = counted.filter(F.lit(False) if least is None else step >= least)
     words = [r.word.encode() for r in top.select("word").collect() if r.word not in spec["special"]]
     at, ids = Merger(spec)(words)
     return compile_words({w: ids[a:b].tolist() for w, a, b in zip(words, at.tolist(), at[1:].tolist())})
