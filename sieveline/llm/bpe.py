@@ -256,7 +256,7 @@ def compile_lexicon(docs: DataFrame, spec: dict, size: int = LEXICON) -> bytes:
     A histogram of counts, in steps of a few per cent, says from which count on
     words fit; only those come to the driver.
     """
-    counted = settle(word_counts(docs, spec["special"]), "word-counts")
+    counted = settle(word_counts(docs, spec["special"]), "word-counts").filter(F.octet_length("word") <= LONG)
     step = F.floor(F.log2("n") * 16)
     seen, least = 0, None
     for row in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():

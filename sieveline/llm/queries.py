@@ -1,4 +1,5 @@
 """The package's queries, by importing the modules that register them."""
 
-from . import bpe, classifier, decontaminate, language, licenses, quality_rules, repeats, sharding, simhash          # noqa: F401
+from . import (bpe, classifier, decontaminate, language, licenses, quality_rules, repeats, sharding,   # noqa: F401
+               simhash, token_counts)
 from .registry import ORACLES, QUERIES         # noqa: F401
