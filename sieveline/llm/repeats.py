@@ -26,6 +26,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -39,7 +40,8 @@ from .registry import query
 LENGTH = 200                 # bytes of a repeated string
 GRAM = 32                    # bytes an anchor is chosen by
 WIDE = 20_000                # distinct fragments of an anchor that one task sorts
-PIECE = 4 << 20              # bytes of text hashed at once
+PIECE = 1 << 20              # bytes of text hashed at once
+ROWS = 256                   # texts unpacked at once
 SORTED = 8_000               # fragments sorted at once (whole groups; a group may be larger)
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93,
@@ -249,7 +251,7 @@ def spans(docs: DataFrame) -> DataFrame:
 
     def cut(batches):
         box = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in few(batches):
             for z, want in zip(batch.column("z").to_pylist(), batch.column("want").to_pylist()):
                 raw = box.decompress(z)
                 rows = [{**w, "offset": w["place"] & 255,
@@ -322,10 +324,26 @@ def _wide(cuts: DataFrame) -> DataFrame:
         F.min("s").alias("low"), (F.max("s") + LENGTH).cast("int").alias("high"))
 
 
-def runs(found, size: int) -> list[tuple[int, int]]:
+def few(batches):
+    """The batches in slices of ``ROWS`` rows: what is unpacked from one stays small."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, ROWS):
+            yield batch.slice(a, ROWS)
+
+
+def spans_of(batch: pa.RecordBatch) -> list[list[tuple[int, int]]]:
+    """The spans of each row as pairs."""
+    column = batch.column("spans")
+    flat = column.flatten()
+    pairs = list(zip(flat.field("a").to_numpy(zero_copy_only=False).tolist(), flat.field("b").to_numpy(zero_copy_only=False).tolist()))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)).tolist()
+    return [pairs[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def runs(found: list[tuple[int, int]], size: int) -> list[tuple[int, int]]:
     """Maximal covered runs, in order."""
     out: list[list[int]] = []
-    for a, b in sorted((f["a"], min(f["b"], size)) for f in found or ()):
+    for a, b in sorted((a, min(b, size)) for a, b in found):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -359,9 +377,9 @@ def measure(docs: DataFrame, with_runs: bool = True) -> DataFrame:
 
     def run(batches):
         box = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in few(batches):
             rows = []
-            for doc_id, size, z, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "z", "spans"))):
+            for doc_id, size, z, found in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "size", "z")), spans_of(batch)):
                 removed = runs(found, size)
                 kept = cut_out(box.decompress(z), removed) if size else b""
                 rows.append((doc_id, size, sum(b - a for a, b in removed), len(removed), hashlib.sha256(kept).hexdigest(),
@@ -381,10 +399,10 @@ def remove(docs: DataFrame) -> DataFrame:
     """
     def run(batches):
         box = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in few(batches):
             rows = []
-            for row in batch.to_pylist():
-                removed = runs(row["spans"], row["size"])
+            for row, found in zip(batch.drop_columns(["spans"]).to_pylist(), spans_of(batch)):
+                removed = runs(found, row["size"])
                 text = None if row["none"] else box.decompress(row["z"]).decode()
                 if removed:
                     text = cut_out(text.encode(), removed).decode("utf-8", "ignore")
