@@ -8,6 +8,8 @@ tests on keys cut from the row itself: no shuffle, no nested loop.  The
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,28 +123,27 @@ def host_join(df: DataFrame, host_col: str, hosts: DataFrame, depth: int = 4) ->
 
 # ---- trade terms ------------------------------------------------------------
 
-def typed_trade(term: str, categories=None, keywords=None, vetoes=None, osm_tags=None) -> dict:
-    """A trade somebody typed, as a pack for one plan only."""
-    words = " ".join(str(term or "").split())
-    if not words:
-        raise ValueError("a typed trade needs a name")
-    return {"label": words[:1].upper() + words[1:],
-            "categories": [str(c) for c in categories or [singular(words.lower())]],
-            "keywords": [str(k) for k in keywords or [singular(words.lower())]],
-            "locale_terms": [], "vetoes": [str(v) for v in vetoes or []],
-            "osm_tags": [str(t) for t in osm_tags or []]}
-
-
-def singular(word: str) -> str:
-    """A plural noun's stem, for substring matching."""
-    n = len(word)
-    if n > 4 and word.endswith("ies"):
-        return word[:-3] + "y"
-    if n > 4 and word.endswith("es") and word[-3] in "sxzh":
-        return word[:-2]
-    if n > 3 and word.endswith("s") and not word.endswith("ss"):
-        return word[:-1]
-    return word
+# Plural endings and what takes their place, the first that fits; a word
+# shorter than the given length keeps its ending.
+PLURALS = [("ies", "y", 5), ("ses", "s", 5), ("xes", "x", 5), ("zes", "z", 5), ("hes", "h", 5), ("ss", "ss", 0), ("s", "", 4)]
+
+
+def stem(noun: str) -> str:
+    """What a plural and its singular have in common, for substring matching."""
+    ending, instead = next(((e, i) for e, i, least in PLURALS if noun.endswith(e) and len(noun) >= least), ("", ""))
+    return noun[:len(noun) - len(ending)] + instead
+
+
+def typed_trade(term: str, **given) -> dict:
+    """A trade somebody typed, as a pack of one plan: its stem stands in for terms not given."""
+    name = re.sub(r"\s+", " ", str(term or "")).strip()
+    if not name:
+        raise ValueError(f"{term!r} names no trade")
+    pack = {kind: [str(t) for t in given.get(kind) or ()] for kind in
+            ("categories", "keywords", "locale_terms", "vetoes", "osm_tags")}
+    for kind in ("categories", "keywords"):
+        pack[kind] = pack[kind] or [stem(name.lower())]
+    return {"label": name[0].upper() + name[1:], **pack}
 
 
 def effective_vetoes(pack: dict, shared=None) -> list[str]:

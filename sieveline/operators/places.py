@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..reference_data import OSM_GUESS_KEYS, OSM_TRADE_TAGS, PLACES
 from .listings import distinct_first, first_per_key
-from .matching import singular
+from .matching import stem
 
 
 def planned_places(spark, where: dict, packs: dict | None = None) -> DataFrame:
@@ -89,7 +89,7 @@ def guess_tags(term: str) -> list[str]:
     word = "".join(ch for ch in word if ch.isalnum() or ch == "_").strip("_")
     if not word:
         return []
-    return [f"{key}={stem}" for stem in sorted({word, singular(word)}) for key in OSM_GUESS_KEYS]
+    return [f"{key}={form}" for form in sorted({word, stem(word)}) for key in OSM_GUESS_KEYS]
 
 
 def osm_tags(explicit=None, packs=(), trade: str | None = None) -> list[str]:

@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from sieveline import Brief, BriefError, judge, validate
+from sieveline import Brief, BriefError, judge, settings, validate
 from sieveline.model import measurement
-from sieveline.operators import places, registry, scoring, shaping
+from sieveline.operators import places, registry, shaping
 from sieveline.plans.brief import duration, durable_problem
 from sieveline.sources import registry as sources
 from sieveline.streaming import qualify
@@ -27,14 +27,14 @@ def test_checks_report_everything():
            "limits": {"max_results": 0, "max_runtime": "soon"}, "output": {"columns": ["x"], "template": {"a": "{y}"}},
            "suppress": {"after": "later"}}
     told = "; ".join(validate(bad))
-    for word in ("sorces", "options.path", "trades/none", "'some'", "'nope'", "'~'", "'most'", "names no signal", "cap",
-                 "numeric min", "max_results", "max_runtime", "'x'", "'y'", "suppress.after"):
+    for word in ("sorces", "options.path", "trades/none", "'some'", "'nope'", "'~'", "'most'", "lacks 'signal'", "cap",
+                 "lacks 'min'", "max_results", "max_runtime", "'x'", "'y'", "suppress.after"):
         assert word in told, word
     with pytest.raises(BriefError):
         Brief.of(bad)
     assert validate(DENTISTS) == [] and validate("x") and validate({})
     assert [duration(v) for v in ("90d", "30m", 1800, "x", "")] == [7776000, 1800, 1800, None, None]
-    assert scoring.check_weight("x", {"weight": 1, "cap": 5, "capp": 6, "invert": "yes"})
+    assert len(settings.weight("x", {"weight": 1, "cap": 5, "capp": 6, "invert": "yes"})) == 2
     assert durable_problem(dentists())
     assert sorted(shaping.template_fields({"A": "name", "B": "{score} and {band}"})) == ["band", "name", "score"]
 
