@@ -84,10 +84,10 @@ def r5(spark, sf):
 
 @query("r6_first_failure", O.dentists("""SELECT cid, outcome, rejected_by, CASE rejected_by
    WHEN 'trade_match' THEN 'trade_match is False, needs != False'
-   WHEN 'web_presence' THEN 'web_presence is ''' || web_presence || ''', needs in [''none'', ''booking_only'', ''social_only'']'
+   WHEN 'web_presence' THEN 'web_presence is ''' || web_presence || ''', needs != ''owned_domain'''
    WHEN 'reviews' THEN 'reviews is ' || review_count || ', needs >= 8'
    WHEN 'unmeasurable:reviews' THEN 'reviews is unknown (no review count on the record: unknown, not zero): not judged'
-   WHEN 'liveness' THEN 'liveness is ''' || liveness || ''', needs == ''open''' END AS reject_reason FROM verdicts"""))
+   WHEN 'liveness' THEN 'liveness is ''' || liveness || ''', needs not in [''perm_closed'', ''temp_closed'']' END AS reject_reason FROM verdicts"""))
 def r6(spark, sf):
     return verdicts(spark, sf).select("cid", "outcome", "rejected_by", "reject_reason")
 
@@ -195,8 +195,8 @@ def g4_conf(spark, sf):
     return scored(spark, sf, {"trade_match": 60, "liveness": 40}, confidence=True).select("cid", "score")
 
 
-@query("g5_bands", O.dentists("""SELECT cid, CASE WHEN score >= 80 THEN 'call today' WHEN score >= 70 THEN 'worth a look'
-   WHEN score >= 0 THEN 'backlog' END AS band FROM verdicts"""))
+@query("g5_bands", O.dentists("""SELECT cid, CASE WHEN score >= 75 THEN 'first' WHEN score >= 60 THEN 'next'
+   WHEN score >= 0 THEN 'later' END AS band FROM verdicts"""))
 def g5(spark, sf):
     return verdicts(spark, sf).select("cid", "band")
 
@@ -226,9 +226,9 @@ def g8(spark, sf):
 
 
 @query("p12_explain", O.dentists("""SELECT cid, signal, points, row_number() OVER (PARTITION BY cid ORDER BY points DESC, i) - 1 AS pos
-  FROM (SELECT cid, 'web_presence' AS signal, pts_web AS points, 0 AS i FROM verdicts WHERE outcome = 'qualified'
-   UNION ALL SELECT cid, 'reviews', pts_reviews, 1 FROM verdicts WHERE outcome = 'qualified'
-   UNION ALL SELECT cid, 'trade_match', 25.0::DOUBLE, 2 FROM verdicts WHERE outcome = 'qualified')"""))
+  FROM (SELECT cid, 'web_presence' AS signal, pts_web AS points, 1 AS i FROM verdicts WHERE outcome = 'qualified'
+   UNION ALL SELECT cid, 'reviews', pts_reviews, 0 FROM verdicts WHERE outcome = 'qualified'
+   UNION ALL SELECT cid, 'trade_match', 20.0::DOUBLE, 2 FROM verdicts WHERE outcome = 'qualified')"""))
 def p12(spark, sf):
     return scoring.explain(verdicts(spark, sf)).select("cid", "signal", "points", F.col("pos").cast("long").alias("pos"))
 

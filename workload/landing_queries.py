@@ -359,8 +359,8 @@ def p8(spark, sf):
 
 
 @query("p9_template", O.dentists("""SELECT coalesce(name, '') AS "Company", coalesce(band_, '') AS "Priority",
-   coalesce(name, '') || ' has ' || coalesce(review_count::VARCHAR, '') || ' reviews' AS "Opening" FROM (SELECT *, CASE WHEN score >= 80 THEN 'call today'
-   WHEN score >= 70 THEN 'worth a look' WHEN score >= 0 THEN 'backlog' END AS band_ FROM verdicts)"""))
+   coalesce(name, '') || ' has ' || coalesce(review_count::VARCHAR, '') || ' reviews' AS "Opening" FROM (SELECT *, CASE WHEN score >= 75 THEN 'first'
+   WHEN score >= 60 THEN 'next' WHEN score >= 0 THEN 'later' END AS band_ FROM verdicts)"""))
 def p9(spark, sf):
     return shaping.render(verdicts(spark, sf), {"Company": "name", "Priority": "band", "Opening": "{name} has {review_count} reviews"})
 

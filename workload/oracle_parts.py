@@ -140,18 +140,19 @@ def dentist_cte(least: int = 8, source: str = "listings", name: str = "verdicts"
     tag = name
     base = (web_cte(source) + ",\n" + trade_cte(["trades/dentist"], "web") + ",\n") if first else ""
     return base + f"""{tag}_j AS (SELECT *, {LIVENESS} AS liveness FROM trade),
-{tag}_f AS (SELECT *, CASE WHEN trade_hit IS NULL THEN 'trade_match'
-    WHEN web_presence NOT IN ('none', 'booking_only', 'social_only') THEN 'web_presence'
-    WHEN review_count IS NULL THEN 'unmeasurable:reviews'
+{tag}_f AS (SELECT *, CASE WHEN review_count IS NULL THEN 'unmeasurable:reviews'
     WHEN review_count < {least} THEN 'reviews'
-    WHEN liveness <> 'open' THEN 'liveness' END AS rejected_by FROM {tag}_j),
+    WHEN liveness IN ('perm_closed', 'temp_closed') THEN 'liveness'
+    WHEN trade_hit IS NULL THEN 'trade_match'
+    WHEN web_presence = 'owned_domain' THEN 'web_presence' END AS rejected_by FROM {tag}_j),
 {tag}_o AS (SELECT *, CASE WHEN rejected_by IS NULL THEN 'qualified'
     WHEN starts_with(rejected_by, 'unmeasurable:') THEN 'unevaluated' ELSE 'rejected' END AS outcome FROM {tag}_f),
 {tag}_s AS (SELECT *,
-    CASE web_presence WHEN 'none' THEN 40.0::DOUBLE WHEN 'booking_only' THEN 32.0::DOUBLE ELSE 28.0::DOUBLE END AS p_web,
-    35.0::DOUBLE * (log10(least(review_count, 300)::DOUBLE + 1) / log10(301.0::DOUBLE)) AS p_rev FROM {tag}_o),
+    CASE web_presence WHEN 'none' THEN 50.0::DOUBLE WHEN 'booking_only' THEN 30.0::DOUBLE WHEN 'social_only' THEN 20.0::DOUBLE
+      WHEN 'builder' THEN 10.0::DOUBLE ELSE 0.0::DOUBLE END AS p_web,
+    30.0::DOUBLE * (log10(least(review_count, 40)::DOUBLE + 1) / log10(41.0::DOUBLE)) AS p_rev FROM {tag}_o),
 {tag} AS (SELECT * EXCLUDE (p_web, p_rev), CASE WHEN outcome = 'qualified' THEN
-      round((0.0::DOUBLE + p_web + p_rev + 25.0::DOUBLE) / 100.0::DOUBLE * 100.0::DOUBLE, 1) END AS score,
+      round((0.0::DOUBLE + p_rev + p_web + 20.0::DOUBLE) / 100.0::DOUBLE * 100.0::DOUBLE, 1) END AS score,
     CASE WHEN outcome = 'qualified' THEN round(p_web, 2) END AS pts_web,
     CASE WHEN outcome = 'qualified' THEN round(p_rev, 2) END AS pts_reviews,
     (rating < 0 OR rating > 5) IS TRUE AS broken
