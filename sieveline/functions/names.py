@@ -74,9 +74,6 @@ def _stripped(name: Column) -> Column:
     return F.regexp_replace(key, NOT_WORD, " ")
 
 
-MAX_BRAND_WORDS = 4
-
-
 def brand_key(name: str) -> str:
     """``chain_key`` of a brand in the reference list, on the driver."""
     key = name.strip().lower()
@@ -90,10 +87,11 @@ def known_brand(key: Column, brands: dict[str, int] | None = None) -> Column:
     """Place (from 1) in the brand list of the longest whole-word prefix of
     ``key`` that is a brand; null when none is.
 
-    The prefix test is up to four equality lookups, one per word count.
+    The prefix test is one equality lookup for each word count that the list has.
     """
-    keys = word_list([brand_key(b) for b in (CHAINS if brands is None else brands)])
-    heads = [F.substring_index(key, " ", n) for n in range(MAX_BRAND_WORDS, 0, -1)]
+    listed = [brand_key(b) for b in (CHAINS if brands is None else brands)]
+    keys = word_list(listed)
+    heads = [F.substring_index(key, " ", n) for n in sorted({k.count(" ") + 1 for k in listed}, reverse=True)]
     return F.coalesce(*[F.nullif(F.array_position(keys, h), F.lit(0)) for h in heads]).cast("int")
 
 

@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+SOURCE_BIT = 57          # of ``ord``: 24 bits of partitions and 33 of rows stand below a source
+
+
 def first_per_key(df: DataFrame, key, order) -> DataFrame:
     """The first row of each key in ``order``.
 
@@ -45,9 +48,16 @@ def union_sources(*frames: DataFrame) -> DataFrame:
     """Sources one after another; ``ord`` keeps source order, then row order.
 
     A source that is off or failed is simply not given. Its place in the order
-    stands in the high bits, so no source's rows interleave with another's.
+    stands in the high bits, so no source's rows interleave with another's;
+    below it there is room for a running number over 2**24 partitions, and a
+    row beyond that is an error.
     """
-    tagged = [df.withColumn("ord", F.shiftleft(F.lit(i).cast("long"), 52) + F.coalesce("ord", F.lit(0)))
+    if len(frames) > 1 << (63 - SOURCE_BIT):
+        raise ValueError(f"{len(frames)} sources: at most {1 << (63 - SOURCE_BIT)} keep their order")
+    own = F.coalesce("ord", F.lit(0))
+    inside = F.when((own >= 0) & (own < F.lit(1 << SOURCE_BIT)), own).otherwise(
+        F.raise_error(F.lit("a row's order does not fit under its source's")).cast("long"))
+    tagged = [df.withColumn("ord", F.shiftleft(F.lit(i).cast("long"), SOURCE_BIT) + inside)
               for i, df in enumerate(frames)]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tagged)
 

@@ -102,12 +102,13 @@ def host_pack(rank: Column, packs=None) -> Column:
     return out
 
 
-def host_join(df: DataFrame, host_col: str, hosts: DataFrame, depth: int = 4) -> DataFrame:
+def host_join(df: DataFrame, host_col: str, hosts: DataFrame) -> DataFrame:
     """As ``classify_host`` with the list as a DataFrame ``(host, state, rank)``.
 
-    One equi-join per label depth on a unique key; the lowest rank wins. Adds
-    ``host_state`` and ``host_matched``.
+    One equi-join on a unique key for each label depth up to the list's
+    deepest; the lowest rank wins. Adds ``host_state`` and ``host_matched``.
     """
+    depth = hosts.agg(F.max(F.size(F.split("host", r"\.")))).first()[0] or 1
     table = (hosts.groupBy("host").agg(F.min(F.struct("rank", "state", "host")).alias("_hit"))
              .withColumnRenamed("host", "_suffix"))
     out, hits = df, []
@@ -115,7 +116,7 @@ def host_join(df: DataFrame, host_col: str, hosts: DataFrame, depth: int = 4) ->
         side = table.select(F.col("_suffix").alias(f"_s{n}"), F.col("_hit").alias(f"_h{n}"))
         out = out.withColumn(f"_s{n}", F.substring_index(host_col, ".", -n)).join(side, f"_s{n}", "left")
         hits.append(F.col(f"_h{n}"))
-    best = F.least(*hits)
+    best = F.least(*hits, hits[0])
     return (out.withColumn("host_state", F.coalesce(best["state"], F.lit("owned_domain")))
             .withColumn("host_matched", best["host"])
             .drop(*[f"_{k}{n}" for k in "sh" for n in range(1, depth + 1)]))

@@ -1,12 +1,10 @@
 """Operators that depend on discovery order, without one task ordering it all.
 
-A running total over all rows is taken in two steps: totals per block of the
-order key, then rows within their block plus what came before it. The blocks
-are few by construction, so their totals are a bounded table.
-
-The input is read more than once (its range, its block totals, its rows). Give
-these operators a table, or a cheap scan; ``session.settle`` makes one of an
-expensive plan.
+A running total over all rows is taken in two steps: totals per block of
+consecutive rows, then rows within their block plus what came before it. Blocks
+hold like numbers of rows whatever gaps the order key has: Spark cuts them from
+a sample of its values. The cut rows are written once to the shared folder, so
+every later step sees the same blocks.
 """
 
 from __future__ import annotations
@@ -15,25 +13,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BLOCKS = 1024            # blocks of the order key; bounds the table of totals
+from ..session import settle
+
 ROWS_PER_BLOCK = 100_000
 
 
-def _blocked(df: DataFrame, order: str, blocks: int, per: str | None = None) -> DataFrame:
-    """Adds ``_block``: which equal slice of the order key's range a row is in."""
+def _blocked(df: DataFrame, order: str, blocks: int | None, per: str | None = None) -> DataFrame:
+    """Adds ``_block``: consecutive rows in ``order`` (within each ``per`` key), cut by their number."""
+    blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keys = [per] if per else []
-    span = df.groupBy(*keys).agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    if per:
-        from .matching import lookup
-        out = lookup(df, span, per, spread=order)
-    else:
-        ends = span.select(F.struct("_lo", "_hi")).scalar()
-        out = df.withColumns({"_lo": ends["_lo"], "_hi": ends["_hi"]})
-    width = F.greatest(F.lit(1).cast("long"), F.ceil((F.col("_hi") - F.col("_lo") + 1) / F.lit(blocks)))
-    return out.withColumn("_block", F.floor((F.col(order) - F.col("_lo")) / width)).drop("_lo", "_hi")
-
-
-def running_total(df: DataFrame, order: str, totals: dict[str, Column], blocks: int = BLOCKS,
+    return settle(df.repartitionByRange(blocks, *keys, order).withColumn("_block", F.spark_partition_id()), "ordered")
+
+
+def running_total(df: DataFrame, order: str, totals: dict[str, Column], blocks: int | None = None,
                   per: str | None = None) -> DataFrame:
     """Adds inclusive running sums in ``order`` (a unique whole number), all
     rows together or within each ``per`` key."""
@@ -41,13 +33,16 @@ def running_total(df: DataFrame, order: str, totals: dict[str, Column], blocks:
     df = _blocked(df.withColumns({f"_v_{k}": v for k, v in totals.items()}), order, blocks, per)
     sums = df.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{k}").alias(f"_b_{k}") for k in totals])
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sums.select(*keys, "_block", *[
+    offsets = sums.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_at"), *[
         F.coalesce(F.sum(f"_b_{k}").over(earlier), F.lit(0)).alias(f"_o_{k}") for k in totals])
     inside = W.partitionBy(*keys, "_block").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    # At most ``blocks`` offsets when there is no ``per`` key: broadcast is safe.
-    joined = df.join(offsets if per else F.broadcast(offsets), keys + ["_block"])
+    same = F.col("_block") == F.col("_at")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    # One offset for each block when there is no ``per`` key: broadcast is safe.
+    joined = df.join(offsets if per else F.broadcast(offsets), same)
     return (joined.withColumns({k: F.sum(f"_v_{k}").over(inside) + F.col(f"_o_{k}") for k in totals})
-            .drop("_block", *[f"_v_{k}" for k in totals], *[f"_o_{k}" for k in totals]))
+            .drop("_block", "_at", *[f"_k_{k}" for k in keys], *[f"_v_{k}" for k in totals], *[f"_o_{k}" for k in totals]))
 
 
 def numbered(df: DataFrame, order: str, name: str = "rn", per: str | None = None) -> DataFrame:

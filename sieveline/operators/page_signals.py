@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from ..functions import html as H
 from ..functions import urls
-from ..functions.text import text
+from ..functions.text import first_of, text
 from ..model import CHEAP, EXPENSIVE, first_case, measurement
 from .matching import lookup
 from .registry import Context, signal
@@ -64,7 +64,7 @@ def page_facts(pages: DataFrame, this_year: Column | None = None) -> DataFrame:
         F.coalesce("requests", F.lit(1)).alias("requests"),
         ok.alias("ok"),
         H.parked_at(final, low).alias("parked"),
-        H.within(low, H.PLACEHOLDER_PHRASES, H.PLACEHOLDER_REACH).alias("placeholder"),
+        first_of(low, H.PLACEHOLDER_PHRASES).alias("placeholder"),
         H.word_count(html).alias("words"),
         kind.alias("platform"), marker.alias("marker"), H.generator(html).alias("generator"),
         H.emails(html).alias("emails"), H.socials(links).alias("socials"),
@@ -212,8 +212,7 @@ def site_contact(ctx: Context) -> Column:
         first, "vstr", version=2, broken_text="unknown",
         emails=mails, mail_server=F.when(first.isNotNull(), F.col("_mail_ok")),
         socials=F.map_concat(page["socials"], F.coalesce(extra, no_map)),
-        phones=F.slice(F.array_distinct(F.concat(page["phones"], F.coalesce(
-            F.when(hopped, hop["phones"]), no_list))), 1, H.MAX_PHONES),
+        phones=F.array_distinct(F.concat(page["phones"], F.coalesce(F.when(hopped, hop["phones"]), no_list))),
         contact_page=F.when(hopped, F.col("_contact_url")))
 
 
@@ -243,8 +242,7 @@ def site_year(ctx: Context) -> Column:
     years = F.col("_page")["years"]
     latest = F.array_max(years)
     return _opened(F.when(latest.isNull(), 0.6).otherwise(0.8), latest, "vnum",
-                   years_seen=F.slice(years, F.greatest(F.lit(1), F.size(years) - H.YEARS_SHOWN + 1),
-                                      H.YEARS_SHOWN))
+                   years_seen=years)
 
 
 def with_place_pages(df: DataFrame, place_pages: DataFrame | None) -> DataFrame:
@@ -253,12 +251,13 @@ def with_place_pages(df: DataFrame, place_pages: DataFrame | None) -> DataFrame:
     if place_pages is None:
         return df.withColumn("_place", F.lit(None).cast(shape))
     body = F.coalesce(F.col("text"), F.lit(""))
-    newest = W.partitionBy("cid").orderBy(F.xxhash64("text"))
-    facts = place_pages.select(F.lower("cid").alias("cid"), "text").withColumn(
-        "_rn", F.row_number().over(newest)).filter("_rn = 1").select(
-        "cid", F.struct(H.review_count(body).alias("count"),
-                        body.contains("Reviews").alias("has_tab")).alias("_place"))
-    return df.join(facts, "cid", "left")
+    # pages are reduced while they are scanned; of several, the latest answer counts
+    when = F.col("fetched_at") if "fetched_at" in place_pages.columns else F.lit(None).cast("timestamp")
+    facts = place_pages.select(F.lower("cid").alias("cid"), F.struct(
+        when.alias("at"), H.review_count(body).alias("count"), body.contains("Reviews").alias("has_tab")).alias("_p"))
+    latest = facts.groupBy("cid").agg(F.max("_p").alias("_p")).select(
+        "cid", F.struct("_p.count", "_p.has_tab").alias("_place"))
+    return df.join(latest, "cid", "left")
 
 
 @signal("reviews_live", EXPENSIVE, "number", builtin=True, whole=True,

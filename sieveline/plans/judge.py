@@ -28,6 +28,7 @@ class Inputs:
     suppressions: DataFrame | None = None       # cid, suppressed_at
     prior_verdicts: DataFrame | None = None     # cid, outcome: hide unchanged
     stored: DataFrame | None = None             # verdicts whose paid signals are reused
+    ledger: object | None = None                # where the runs that a brief suppresses are kept
     now: Column | None = None
     fresh_days: int | None = page_signals.FRESH_DAYS
 
@@ -111,6 +112,30 @@ def _attach_pages(df: DataFrame, facts: DataFrame | None, hop: bool) -> DataFram
 VERDICT_TAIL = ["signals", "outcome", "rejected_by", "reject_reason"]
 
 
+def withheld(spark, brief: Brief, inputs: Inputs) -> DataFrame | None:
+    """Everything a run leaves out: the table given, the brief's lists, what its earlier runs found, and its ids."""
+    from ..sources.donotcontact import read_list
+
+    lists = [] if inputs.suppressions is None else [inputs.suppressions]
+    lists += [read_list(spark, path) for path in brief.suppress.get("lists") or []]
+    runs = brief.suppress.get("runs") or []
+    if runs:
+        earlier = [inputs.ledger.verdicts(r) if inputs.ledger else None for r in runs]
+        if any(e is None for e in earlier):
+            raise ValueError("suppress.runs needs a ledger that holds those runs")
+        lists += [e.select("cid", F.lit(None).cast("timestamp").alias("suppressed_at")) for e in earlier]
+    cids = brief.suppress.get("cids") or []
+    return memory.suppression_list(*lists, cids=cids) if lists or cids else None
+
+
+def honoured(brief: Brief) -> None:
+    """Refuses limits that only a fetching run could keep, rather than ignore them."""
+    asked = [k for k in ("max_requests", "max_runtime", "max_runtime_seconds") if brief.limits.get(k) is not None]
+    if asked:
+        raise ValueError(f"a batch over landed data fetches nothing and cannot keep limits.{', limits.'.join(asked)}; "
+                         "see operators.ordered.within_budget and streaming.qualify")
+
+
 def judge(listings: DataFrame, brief: Brief, inputs: Inputs | None = None, *, dedupe: bool = True,
           tally: bool = True, tally_table: DataFrame | None = None, materialise: bool = False) -> DataFrame:
     """Verdicts of ``listings``: listing columns, ``signals``, outcome, score.
@@ -123,8 +148,9 @@ def judge(listings: DataFrame, brief: Brief, inputs: Inputs | None = None, *, de
     df = conform(listings)
     if dedupe:
         df = first_seen(df)
-    if inputs.suppressions is not None:
-        df = memory.without_suppressed(df, inputs.suppressions, brief.suppress.get("after"), inputs.now)
+    hidden = withheld(df.sparkSession, brief, inputs)
+    if hidden is not None:
+        df = memory.without_suppressed(df, hidden, brief.suppress.get("after"), inputs.now)
     df = measure_free(df, brief, tally, tally_table)
     measured = set(brief.signals_for(FREE))
     df = rules.evaluate(df, brief.filters, measured).select(*LISTING_FIELDS, *VERDICT_TAIL)
@@ -174,6 +200,7 @@ def run(listings: DataFrame, brief: Brief, inputs: Inputs | None = None, **kw) -
     """``judge`` with what a run withholds or cuts short marked in ``fate``:
     ``shown``, ``hidden`` (unchanged since before) or ``unreached`` (past the
     breaker or the result cap). Nothing is dropped uncounted."""
+    honoured(brief)
     inputs = inputs or Inputs()
     df = judge(listings, brief, inputs, **kw)
     # Verdicts are written anyway; what depends on their order reads the file.

@@ -42,12 +42,15 @@ def build_session(app: str = "sieveline", **extra: str) -> SparkSession:
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session that names none (a test on one machine) gets a local one.
+    A session on one machine that names none gets a folder of its own; on a
+    cluster that would be a different disk for every executor, so it is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = tempfile.mkdtemp(prefix="spark-sieveline-")
         spark.sparkContext.setCheckpointDir(named)
     return named

@@ -1,8 +1,8 @@
 """Results as files.
 
 Sorted output keeps its order across part files: Spark writes range-sorted
-partitions in order, so large results are not squeezed through one task.
-``single_file`` is for a result known to be small.
+partitions in order, so results are not squeezed through one task. Joining the
+parts into one file is left to the reader of the folder.
 """
 
 from __future__ import annotations
@@ -12,15 +12,6 @@ from pyspark.sql import functions as F
 
 from ..operators import shaping
 
-SMALL_ROWS = 100_000
-
-
-def _parts(df: DataFrame, single_file: bool) -> DataFrame:
-    if single_file and df.limit(SMALL_ROWS + 1).count() > SMALL_ROWS:
-        raise ValueError(f"more than {SMALL_ROWS} rows: write part files instead of one")
-    return df.coalesce(1) if single_file else df
-
-
 def layout(verdicts: DataFrame, output: dict | None = None) -> DataFrame:
     """The columns a table reader gets: a template's, the chosen, or the usual."""
     cfg = output or {}
@@ -34,34 +25,34 @@ def layout(verdicts: DataFrame, output: dict | None = None) -> DataFrame:
     return out
 
 
-def write_csv(verdicts: DataFrame, path: str, output: dict | None = None, single_file: bool = False) -> None:
+def write_csv(verdicts: DataFrame, path: str, output: dict | None = None) -> None:
     rows = shaping.sheet_safe(layout(verdicts, output))
     # Columns rarely empty on purpose: nulls and empty cells are both blank.
-    (_parts(rows, single_file).write.mode("overwrite").option("header", True).option("encoding", "UTF-8")
+    (rows.write.mode("overwrite").option("header", True).option("encoding", "UTF-8")
      .option("escape", '"').option("emptyValue", "").csv(path))
     write_attribution(verdicts, path.rstrip("/") + ".ATTRIBUTION")
 
 
-def write_jsonl(verdicts: DataFrame, path: str, single_file: bool = False) -> None:
-    _parts(verdicts, single_file).write.mode("overwrite").json(path)
+def write_jsonl(verdicts: DataFrame, path: str) -> None:
+    verdicts.write.mode("overwrite").json(path)
     write_attribution(verdicts, path.rstrip("/") + ".ATTRIBUTION")
 
 
 def write_json(verdicts: DataFrame, path: str) -> None:
     """``{"attribution": [...], "results": [...]}`` as text part files whose
     concatenation, in name order, is the document. No task holds it all."""
-    notes = shaping.attributions(verdicts).select(
-        F.to_json(F.array_sort(F.collect_list(F.struct("first_ord", "attribution")))["attribution"]).alias("n"))
-    head = notes.select(F.lit(0).alias("part"), F.lit(-1).cast("long").alias("at"),
-                        F.concat(F.lit('{"attribution": '), "n", F.lit(', "results": [')).alias("value"))
-    first = verdicts.agg(F.min("ord").alias("ord")).scalar()
-    body = verdicts.select(
-        F.lit(1).alias("part"), F.col("ord").alias("at"),
-        F.concat(F.when(F.col("ord") == first, F.lit("")).otherwise(F.lit(",")),
-                 F.to_json(F.struct(*[F.col(c) for c in verdicts.columns]))).alias("value"))
-    tail = notes.select(F.lit(2).alias("part"), F.lit(0).cast("long").alias("at"), F.lit("]}").alias("value"))
-    head.unionByName(body).unionByName(tail).orderBy("part", "at").select("value") \
-        .write.mode("overwrite").text(path)
+    def lines(rows: DataFrame, part: int, at, value, first) -> DataFrame:
+        comma = F.when(at == first, F.lit("")).otherwise(F.lit(","))
+        return rows.select(F.lit(part).alias("part"), at.cast("long").alias("at"), F.concat(comma, value).alias("value"))
+
+    notes = shaping.attributions(verdicts)
+    quoted = F.regexp_extract(F.to_json(F.array("attribution")), r"(?s)^\[(.*)\]$", 1)
+    marks = verdicts.sparkSession.createDataFrame(
+        [(0, 0, '{"attribution": ['), (2, 0, '], "results": ['), (4, 0, "]}")], "part int, at long, value string")
+    body = F.to_json(F.struct(*[F.col(c) for c in verdicts.columns]))
+    (marks.unionByName(lines(notes, 1, F.col("first_ord"), quoted, notes.agg(F.min("first_ord").alias("f")).scalar()))
+     .unionByName(lines(verdicts, 3, F.col("ord"), body, verdicts.agg(F.min("ord").alias("f")).scalar()))
+     .orderBy("part", "at").select("value").write.mode("overwrite").text(path))
 
 
 def write_split(verdicts: DataFrame, path: str, output: dict) -> None:
@@ -70,7 +61,8 @@ def write_split(verdicts: DataFrame, path: str, output: dict) -> None:
     keyed = layout(verdicts.withColumn("_split", key), {**output, "columns": [
         *(output.get("columns") or shaping.DEFAULT_COLUMNS), "_split"]}) if not output.get("template") else \
         shaping.render(verdicts.withColumn("_split", key), {**output["template"], "_split": "_split"})
-    shaping.sheet_safe(keyed).write.mode("overwrite").option("header", True).partitionBy("_split").csv(path)
+    # by group, with large groups split: a file or a few for each, not one from every task
+    shaping.sheet_safe(keyed).hint("rebalance", "_split").write.mode("overwrite").option("header", True).partitionBy("_split").csv(path)
 
 
 def write_attribution(verdicts: DataFrame, path: str) -> bool:
@@ -80,7 +72,7 @@ def write_attribution(verdicts: DataFrame, path: str) -> bool:
     notes = shaping.attributions(verdicts)
     if not notes.head(1):
         return False
-    notes.orderBy("first_ord").select(F.col("attribution").alias("value")).coalesce(1) \
+    notes.orderBy("first_ord").select(F.col("attribution").alias("value")) \
         .write.mode("overwrite").text(path)
     return True
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import parsed_date
 from ..operators.listings import first_per_key
 from ..reference_data import SUPPRESSION_DATE_FIELDS
-from .landed import build_mapping, identity, read_rows
+from .landed import build_mapping, file_order, identity, read_rows
 
 # What an id looks like: a hex pair, an OSM reference, digits, or one token.
 ID = (r"(?i)^(0x[0-9a-f]+:0x[0-9a-f]+|osm:(node|way|relation)/\d+|\d{8,}|"
@@ -47,7 +47,7 @@ def read_list(spark: SparkSession, path: str) -> DataFrame:
         dated = {h.lower(): h for h in headers}
         column = next((dated[f] for f in SUPPRESSION_DATE_FIELDS if f in dated), None)
         when = parsed_date(landed.cell(column)) if column else F.lit(None).cast("timestamp")
-        rows = landed.df.withColumn("_ord", F.monotonically_increasing_id()).select(
+        rows = landed.df.withColumn("_ord", file_order()).select(
             identity(landed.cell(mapping.get("cid")), landed.cell(mapping.get("maps_url"))).alias("cid"),
             when.alias("suppressed_at"), "_ord").filter(F.col("cid").isNotNull())
         out = first_per_key(rows, "cid", [F.col("_ord").desc()]).drop("_ord")

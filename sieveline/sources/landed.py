@@ -91,6 +91,19 @@ def _head(spark: SparkSession, path: str, lines: int = 2) -> list[bytes]:
     return [bytes(r.b) for r in rows.filter(F.col("f") == first.f).limit(lines).collect()]
 
 
+def file_order() -> Column:
+    """A row's place in what was landed: its file by name, its part of the file, its row. Spark packs files by size,
+    so a running number alone doesn't follow them. Only next to the scan."""
+    return F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())
+
+
+def parsed(value: Column) -> Column:
+    """A whole document as a variant; one that can't be parsed, or is too large to be one value, is an error."""
+    return F.when(F.trim(value) != "", F.coalesce(F.try_parse_json(value), F.raise_error(F.concat(
+        F.lit("not one JSON document, or larger than a variant may be (land it as JSON lines, or in parts): "),
+        F.input_file_name())).cast("variant")))
+
+
 def encoding_of(head: bytes) -> str:
     return "UTF-16" if head[:2] in (b"\xff\xfe", b"\xfe\xff") else "UTF-8"
 
@@ -144,10 +157,12 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline:
 
 
 def _of_variant(df: DataFrame) -> Landed:
-    """Keep objects only; fields are named after the first one's."""
+    """Keep objects only; fields are those of the first record in its order, then any others that records have."""
     rows = df.filter(F.col("_row").isNotNull() & F.schema_of_variant("_row").startswith("OBJECT"))
     first = rows.select(F.to_json("_row").alias("j")).first()
-    return Landed(rows, list(json.loads(first.j)) if first else [], "_row")
+    named = list(json.loads(first.j)) if first else []
+    keys = rows.select(F.explode(F.json_object_keys(F.to_json("_row"))).alias("k")).groupBy("k").agg(F.lit(1)).collect()
+    return Landed(rows, named + sorted({r.k for r in keys} - set(named)), "_row")
 
 
 def read_jsonl(spark: SparkSession, path: str) -> Landed:
@@ -159,7 +174,7 @@ def read_jsonl(spark: SparkSession, path: str) -> Landed:
 def read_array(spark: SparkSession, path: str) -> Landed:
     """A JSON array of objects per file; other items are skipped."""
     whole = spark.read.text(path, wholetext=True).select(
-        F.explode(F.try_variant_get(F.try_parse_json(F.ltrim("value")), "$", "array<variant>")).alias("_row"))
+        F.explode(F.try_variant_get(parsed(F.ltrim("value")), "$", "array<variant>")).alias("_row"))
     return _of_variant(whole)
 
 
@@ -167,7 +182,7 @@ def read_document(spark: SparkSession, path: str) -> Landed:
     """A wrapper: its first field that is a non-empty list of objects holds the
     rows. Without one, the document is the row."""
     whole = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("_text"), F.try_parse_json("value").alias("_doc"))
+        F.col("value").alias("_text"), parsed(F.col("value")).alias("_doc"))
     # Field order is the text's; a variant keeps its fields sorted.
     keys = F.json_object_keys("_text")
 

@@ -83,11 +83,12 @@ def _count(node: Column, path: str) -> Column:
 def to_listings(raw: DataFrame, fields: dict | None = None) -> DataFrame:
     """Records with an id and a name as listings, in response order."""
     f = {**FIELD_PATHS, **(fields or {})}
-    # Where responses are numbered, discovery order follows them; a response
-    # holds far fewer than 10,000 records.
-    base = F.col("ord") if "ord" in raw.columns else F.monotonically_increasing_id()
+    # Where responses are numbered, discovery order follows them.
+    base = F.col("ord") if "ord" in raw.columns else F.lit(0)
     ok = classified(raw, f).withColumn("_base", base).filter(F.col("state") == "ok")
     rows = ok.select("place", "_base", F.posexplode("records").alias("_i", "_r"))
+    if "ord" in raw.columns:
+        rows = rows.orderBy("_base", "_i")
     r = F.col("_r")
     cats = F.array_compact(F.transform(_list(r, f["categories"]), lambda c: _get(c, "$", "string")))
     stars = F.transform(_list(r, f["per_star"]), lambda n: F.when(
@@ -112,7 +113,7 @@ def to_listings(raw: DataFrame, fields: dict | None = None) -> DataFrame:
         F.coalesce(F.nullif(F.trim(_words(r, f["status"])), F.lit("")),
                    F.nullif(F.trim(_words(r, f["status_other"])), F.lit(""))).alias("status_raw"),
         F.lit("mapsearch").alias("source"), F.col("place").alias("place_label"), extras.alias("extras"),
-        (F.col("_base") * 10_000 + F.col("_i")).alias("ord")).filter(F.col("name").isNotNull()))
+        F.monotonically_increasing_id().alias("ord")).filter(F.col("name").isNotNull()))
 
 
 def source_report(raw: DataFrame) -> DataFrame:

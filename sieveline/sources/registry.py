@@ -94,7 +94,7 @@ def read_site_pages(spark: SparkSession, path: str) -> DataFrame:
 def read_journal(spark: SparkSession, path: str, schema) -> DataFrame:
     """A verdict journal; the last row per id wins and a torn line costs itself."""
     rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
-    return latest(rows.filter(F.col("cid").isNotNull()).withColumn("_at", F.monotonically_increasing_id()),
+    return latest(rows.filter(F.col("cid").isNotNull()).withColumn("_at", landed.file_order()),
                   "cid", "_at").drop("_at")
 
 

@@ -21,6 +21,14 @@ def test_running_total_and_halo(spark):
     assert halo.filter("_own").count() == 400 and halo.filter("not _own").count() == 4 * 8
 
 
+def test_blocks_hold_like_numbers_of_rows_whatever_the_gaps(spark):
+    far = 1 << 52
+    df = spark.range(40_000).select(
+        (F.when(F.col("id") < 20_000, F.col("id")).otherwise(F.col("id") * 1000 + far)).alias("ord"))
+    sizes = [r["count"] for r in ordered._blocked(df, "ord", 16).groupBy("_block").count().collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 2 * 40_000 / len(sizes)
+
+
 def breaker(oks, rate=.4, window=20, least=10):
     recent, trip = [], None
     for i, ok in enumerate(oks):

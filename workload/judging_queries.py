@@ -474,7 +474,7 @@ def u1(spark, sf):
 def u2(spark, sf):
     every = I.offered(spark, sf)
     out = listings.union_sources(every.filter("source <> 'mapsearch'"), every.filter("source = 'mapsearch'").drop("hours"))
-    return out.select("cid", "source", F.shiftright("ord", 52).alias("source_rank"))
+    return out.select("cid", "source", F.shiftright("ord", 57).alias("source_rank"))
 
 
 @query("u3_suppression_union", f"""WITH {I.SUPPRESSIONS_CTE}, a AS (SELECT cid, suppressed_at, 0 AS r FROM suppressions

@@ -9,7 +9,7 @@ from sieveline.functions import names, urls
 from sieveline.functions import text as X
 from sieveline.operators import free_signals, matching, page_signals, registry
 from sieveline.plans.judge import measure_free
-from sieveline.reference_data import (EMAIL_NOISE, HOST_PACKS, PLACEHOLDER_PHRASES, SHARED_VETOES,
+from sieveline.reference_data import (EMAIL_NOISE, HOST_PACKS, PLACEHOLDER_PHRASES, PLATFORM_MARKERS, SHARED_VETOES,
                                       SOCIAL_LINK_NOISE, SOCIAL_LINKS, TRADES)
 from workload import inputs as I
 from workload import oracle_parts as O
@@ -274,7 +274,7 @@ def with_site(spark, sf, *signals, hop=False):
 
 
 PHRASES = " OR ".join(
-    f"(instr(lower(html), {O.q(p)}) BETWEEN 1 AND {H.PLACEHOLDER_REACH - len(p) + 1})" for p in PLACEHOLDER_PHRASES)
+    f"contains(lower(html), {O.q(p)})" for p in PLACEHOLDER_PHRASES)
 WORDS = ("(CASE WHEN trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')) = '' THEN 0 ELSE "
          "len(string_split(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), ' ')) END)")
 READABLE = "website IS NOT NULL AND error IS NULL AND status BETWEEN 200 AND 299"
@@ -311,11 +311,10 @@ def c2(spark, sf):
 @query("c3_site_platform", f"""WITH {I.SITE_CTE} SELECT cid,
   CASE WHEN website IS NULL THEN NULL WHEN error IS NOT NULL THEN 'unknown' WHEN NOT ({READABLE}) THEN NULL
     """ + " ".join(f"WHEN {' OR '.join(f'contains(lower(html), {O.q(m)})' for m in ms)} THEN {O.q(n)}"
-                   for n, ms in __import__("sieveline.reference_data", fromlist=["x"]).PLATFORM_MARKERS) + f"""
+                   for n, ms in PLATFORM_MARKERS) + f"""
     ELSE 'custom' END AS vstr,
   CASE WHEN website IS NULL THEN 1.0::DOUBLE WHEN error IS NOT NULL THEN 0.0::DOUBLE WHEN NOT ({READABLE}) THEN 0.5::DOUBLE
-    WHEN """ + " OR ".join(f"contains(lower(html), {O.q(m)})" for _, ms in __import__(
-        "sieveline.reference_data", fromlist=["x"]).PLATFORM_MARKERS for m in ms) + """ THEN 0.9::DOUBLE
+    WHEN """ + " OR ".join(f"contains(lower(html), {O.q(m)})" for _, ms in PLATFORM_MARKERS for m in ms) + """ THEN 0.9::DOUBLE
     ELSE 0.6::DOUBLE END AS confidence FROM site""")
 def c3(spark, sf):
     return with_site(spark, sf, "site_platform").select("cid", *sig("site_platform", "vstr", "confidence"))
@@ -327,11 +326,10 @@ NOISE_SQL = " OR ".join(f"contains(e, {O.q(n)})" for n in EMAIL_NOISE)
 
 
 def emails_sql(col):
-    """The kept addresses of a text in first-seen order, at most five."""
+    """The kept addresses of a text in first-seen order."""
     found = f"list_transform(regexp_extract_all({col}, '(?i){EMAIL_SQL}'), lambda e: lower(trim(e, '.')))"
     kept = f"list_filter({found}, lambda e: NOT ({NOISE_SQL}))"
-    first = f"list_filter({kept}, lambda e, i: list_position({kept}, e) = i)"
-    return f"list_slice({first}, 1, 5)"
+    return f"list_filter({kept}, lambda e, i: list_position({kept}, e) = i)"
 
 
 @query("c5_emails", f"SELECT doc_id, array_to_string({emails_sql('text')}, ' ') AS emails FROM documents")
@@ -369,9 +367,9 @@ def c6(spark, sf):
     return linked(spark, sf).select("page_id", F.explode(H.socials(H.hrefs(F.col("html")))).alias("network", "link"))
 
 
-@query("c7_phones", f"""WITH {LINKS} SELECT page_id, array_to_string(list_slice(list_filter(list_transform(
+@query("c7_phones", f"""WITH {LINKS} SELECT page_id, array_to_string(list_filter(list_transform(
   regexp_extract_all(html, '(?i)href\\s*=\\s*["'']tel:([^"''>]+)', 1), lambda t: regexp_replace(t, '[^0-9+]', '', 'g')),
-  lambda d: length(d) >= 6), 1, 3), ' ') AS phones FROM linked""")
+  lambda d: length(d) >= 6), ' ') AS phones FROM linked""")
 def c7(spark, sf):
     return linked(spark, sf).select("page_id", F.array_join(H.phones(F.col("html")), " ").alias("phones"))
 
