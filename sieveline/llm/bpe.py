@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from sieveline.session import settle
 
 from .common import map_texts, read
+from .common import texts as text_batches
 from .registry import query
 from .transducer import Transducer, compile_words
 
@@ -228,13 +229,12 @@ class Encoder:
 def word_counts(docs: DataFrame, special: dict[str, int]) -> DataFrame:
     """``word, n`` over every text; tasks add up their own words first."""
     def count(batches):
-        from .common import texts
         split, total = Splitter(special), {}
 
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()),
                                                pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-        for batch in texts(batches, 4 << 20):
+        for batch in text_batches(batches, 4 << 20):
             number, flat = Numbering(), []
             for text in batch.column("text").to_pylist():
                 flat += map(number.__getitem__, split(text or ""))

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import learn_fold, map_texts, read, utf8
+from .common import texts as text_batches
 from .registry import query
 
 BUCKETS = 1 << 15            # hashed words
@@ -86,9 +87,8 @@ def count_vectors(docs: DataFrame) -> DataFrame:
     columns = [f"c{i}" for i in range(DIM)]
 
     def run(batches):
-        from .common import texts
         sums, seen = np.zeros(ROWS * DIM, np.int64), np.zeros(ROWS, np.int64)
-        for batch in texts(batches, 4 << 20):
+        for batch in text_batches(batches, 4 << 20):
             owner, *streams = tokens(utf8(batch.column("text")))
             for rows in streams:
                 seen += np.bincount(rows, minlength=ROWS)
@@ -159,8 +159,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Two layers over standardised features; ``fit`` also sets the temperature."""
 
-    def __init__(self):
-        self.mean, self.scale, self.layers, self.temperature, self.constant = 0.0, 1.0, [], 1.0, 0.5
+    def __init__(self, mean=0.0, scale=1.0, layers=(), temperature=1.0, constant=0.5):
+        self.mean, self.scale, self.layers, self.temperature, self.constant = mean, scale, layers, temperature, constant
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         w1, b1, w2, b2 = self.layers
@@ -237,7 +237,7 @@ def classify(docs: DataFrame, labels: DataFrame, held=None) -> DataFrame:
     held = F.lit(False) if held is None else held
     sc = docs.sparkSession.sparkContext
     model = sc.broadcast(word_vectors(docs))
-    network = sc.broadcast(train(docs, labels, held, model))
+    network = sc.broadcast(vars(train(docs, labels, held, model)))
 
     def step(batch):
         raw, scores = utf8(batch.column("text")), []
@@ -247,7 +247,7 @@ def classify(docs: DataFrame, labels: DataFrame, held=None) -> DataFrame:
             while b < len(raw) and size + len(raw[b]) <= 1 << 20:
                 size += len(raw[b])
                 b += 1
-            scores.append(network.value.score(pool(raw[a:b], *model.value)))
+            scores.append(Network(**network.value).score(pool(raw[a:b], *model.value)))
             a = b
         score = np.concatenate(scores)
         return {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(score),

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import DOCUMENT, DOCUMENT_COLUMNS, WORD_BYTES, read, utf8
+from .common import texts as text_batches
 from .registry import query
 
 WINDOW = 10
@@ -66,16 +67,16 @@ def make_block(items: list[tuple], width: int = WINDOW) -> Block:
 
 
 def blocks(benchmark: DataFrame, width: int = WINDOW) -> list:
-    """The benchmark as broadcasts of about ``BLOCK_BYTES`` of text each, one in the driver's memory at a time."""
+    """The benchmark as broadcasts (plain tuples) of about ``BLOCK_BYTES`` of text each, one in the driver's memory at a time."""
     sc, out, part, size = benchmark.sparkSession.sparkContext, [], [], 0
     for row in benchmark.select("item_id", "text").toLocalIterator():
         part.append((row.item_id, row.text))
         size += len(row.text or "")
         if size >= BLOCK_BYTES:
-            out.append(sc.broadcast(make_block(part, width)))
+            out.append(sc.broadcast(tuple(make_block(part, width))))
             part, size = [], 0
     if part:
-        out.append(sc.broadcast(make_block(part, width)))
+        out.append(sc.broadcast(tuple(make_block(part, width))))
     return out
 
 
@@ -270,7 +271,7 @@ def find(held: list, parts: list) -> tuple[list, list]:
     """For each row of a shard: merged word spans and the names of items found, over all blocks."""
     spans, items = [[] for _ in held], [set() for _ in held]
     for part in parts:
-        block = part.value
+        block = Block(*part.value)
         if len(block.windows):
             hits, pairs = search_shard([w for _, _, w in held], block)
             for d, a, b in hits:
@@ -296,8 +297,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, with_spans: bool = True) -> Data
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
-        from .common import texts
-        for held in shards(texts(batches)):
+        for held in shards(text_batches(batches)):
             spans, items = find(held, parts)
             hit = [sum(b - a for a, b in s) for s in spans]
             named = [sorted(i) for i in items]
@@ -326,8 +326,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     parts = blocks(benchmark)
 
     def run(batches):
-        from .common import texts
-        for held in shards(texts(batches)):
+        for held in shards(text_batches(batches)):
             todo = list(range(len(held)))
             while todo:
                 spans, _ = find([held[i] for i in todo], parts)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import learn_fold, map_texts, read
+from .common import texts as text_batches
 from .registry import query
 
 BITS = 16
@@ -89,9 +90,8 @@ def _count(code: np.ndarray, letter: np.ndarray, owner: np.ndarray) -> tuple[np.
 def count_grams(labelled: DataFrame) -> DataFrame:
     """``lang, bucket, n`` over rows of ``text, lang``; each task sends a bucket of a language once."""
     def run(batches):
-        from .common import texts
         total: dict[str, np.ndarray] = {}
-        for batch in texts(batches, 1 << 20):
+        for batch in text_batches(batches, 1 << 20):
             langs = batch.column("lang").to_pylist()
             key, n = grams([t or "" for t in batch.column("text").to_pylist()])
             which, bucket = key >> BITS, key & (BUCKETS - 1)

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts, read
+from .common import texts as text_batches
 from .registry import query
 
 # name -> SQL over the measurements, true where the document fails. The place
@@ -140,8 +141,7 @@ def keep(docs: DataFrame, version: int = CURRENT) -> DataFrame:
              for n, rule in RULES if BIT[n] & bits]
 
     def run(batches):
-        from .common import texts
-        for batch in texts(batches):
+        for batch in text_batches(batches):
             kept = []
             for text in batch.column("text").to_pylist():
                 got = dict(zip(MEASURES, measure(text)))
