@@ -156,22 +156,29 @@ def effective_vetoes(pack: dict, shared=None) -> list[str]:
     return [v.lower() for v in pack["vetoes"]] + free
 
 
-def veto_table(spark, packs: dict | None = None, shared=None) -> DataFrame:
-    """The same rule as a table: (pack_id, veto), shared ones anti-joined."""
-    packs = TRADES if packs is None else packs
-    shared = SHARED_VETOES if shared is None else shared
-    claims = spark.createDataFrame(
-        [(pid, t.lower()) for pid, p in packs.items()
-         for t in [*p["categories"], *p["keywords"]] if t], "pack_id string, claim string")
-    own = spark.createDataFrame([(pid, v.lower(), "own") for pid, p in packs.items()
-                                 for v in p["vetoes"]], "pack_id string, veto string, origin string")
-    offered = spark.createDataFrame([(pid, v.lower(), "shared") for pid in packs for v in shared],
-                                    "pack_id string, veto string, origin string")
-    kept = offered.alias("o").join(
-        claims.alias("c"), (F.col("o.pack_id") == F.col("c.pack_id"))
-        & (F.col("c.claim").contains(F.col("o.veto")) | F.col("o.veto").contains(F.col("c.claim"))),
-        "left_anti")
-    return own.unionByName(kept)
+def veto_table(terms: DataFrame, shared: DataFrame) -> DataFrame:
+    """The same rule over tables: ``(pack_id, veto, origin)``.
+
+    ``terms`` holds ``pack_id, kind, term`` (kind is category, keyword or veto)
+    and ``shared`` a ``term`` for each shared veto. A pack's claims are one
+    array, tested against the shared list in place: no pack is joined with
+    every veto.
+    """
+    term = F.lower("term")
+    claims = F.array_compact(F.collect_set(F.when((F.col("kind") != "veto") & (term != ""), term)))
+    packs = terms.groupBy("pack_id").agg(
+        claims.alias("claims"), F.array_compact(F.collect_set(F.when(F.col("kind") == "veto", term))).alias("own"))
+    offered = shared.agg(F.sort_array(F.collect_set(term)).alias("v")).scalar()
+    packs = packs.withColumn("offered", offered)
+    free = F.filter("offered", lambda v: ~F.exists("claims", lambda c: c.contains(v) | v.contains(c)))
+    marked = F.concat(F.transform("own", lambda v: F.struct(v.alias("veto"), F.lit("own").alias("origin"))),
+                      F.transform(free, lambda v: F.struct(v.alias("veto"), F.lit("shared").alias("origin"))))
+    return packs.select("pack_id", F.explode(marked).alias("m")).select("pack_id", "m.veto", "m.origin")
+
+
+def pack_inventory(terms: DataFrame) -> DataFrame:
+    """How many distinct terms of each kind a pack holds, from ``pack_id, kind, term``."""
+    return terms.groupBy("pack_id", "kind").agg(F.countDistinct(F.lower("term")).alias("terms"))
 
 
 # How a listing stands to a trade.

@@ -7,6 +7,7 @@ the one run they ask for.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +17,8 @@ from ..operators.listings import latest
 from ..operators.memory import overlay
 from ..session import settle
 
+PLAIN_ID = re.compile(r"[\w.-]+")       # run ids that stand in a path as they are
+
 
 class Ledger:
     def __init__(self, spark: SparkSession, root: str):
@@ -27,7 +30,9 @@ class Ledger:
     def _read(self, table: str) -> DataFrame | None:
         from pyspark.errors import AnalysisException
         try:
-            return self.spark.read.option("mergeSchema", True).parquet(self._path(table))
+            # one run has one schema; all runs together may have grown fields
+            merged = "run_id=" not in table
+            return self.spark.read.option("mergeSchema", merged).parquet(self._path(table))
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
                 return None
@@ -37,10 +42,12 @@ class Ledger:
 
     def verdicts(self, run_id: str, limit: int | None = None, offset: int = 0) -> DataFrame | None:
         """A run's rows by id; partition pruning reads no other run."""
-        every = self._read("verdicts")
-        if every is None:
+        folder = f"verdicts/run_id={run_id}"
+        rows = self._read(folder) if PLAIN_ID.fullmatch(run_id) else self._read("verdicts")
+        if rows is None:
             return None
-        rows = every.filter(F.col("run_id") == run_id).drop("run_id")
+        if "run_id" in rows.columns:
+            rows = rows.filter(F.col("run_id") == run_id).drop("run_id")
         if limit is not None:
             rows = rows.orderBy("cid").offset(offset).limit(limit)
         return rows
@@ -118,8 +125,9 @@ def rows_for(verdicts: DataFrame, cids: list[str]) -> DataFrame:
 
 
 def find(verdicts: DataFrame, cid: str) -> DataFrame:
-    """One row by id: exact, else ignoring case."""
-    hit = verdicts.filter(F.lower("cid") == cid.lower())
+    """One row by id: exact, else in the lower case that ids are stored in. Both are plain equalities, so row groups
+    that can't hold the id are skipped."""
+    hit = verdicts.filter(F.col("cid").isin(cid, cid.lower()))
     return hit.orderBy((F.col("cid") == cid).desc(), "cid").limit(1)
 
 

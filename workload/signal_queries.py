@@ -239,20 +239,29 @@ def a5(spark, sf):
         "cid", "script", F.coalesce(F.try_element_at("s", "script"), F.lit(0)).cast("long").alias("letters"))
 
 
-@query("j17_shared_veto_exemption", f"WITH {O.TERMS_CTE}, t AS (SELECT count(*) AS n FROM customer) "
-       "SELECT pack AS pack_id, term AS veto, origin, n AS listings FROM vetoes, t")
+def part_terms(spark, sf):
+    """Parts as the terms of packs: a part claims its name and vetoes its type."""
+    p = I.read(spark, sf, "part")
+    pack = F.concat(F.lit("part/"), F.col("p_partkey").cast("string"))
+    return p.select(pack.alias("pack_id"), F.lit("keyword").alias("kind"), F.col("p_name").alias("term")).unionByName(
+        p.select(pack.alias("pack_id"), F.lit("veto").alias("kind"), F.col("p_type").alias("term")))
+
+
+# the first words of all part names are vetoes that packs share
+@query("j17_shared_veto_exemption", """WITH shared AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS v FROM part)
+  SELECT 'part/' || p_partkey AS pack_id, lower(p_type) AS veto, 'own' AS origin FROM part
+  UNION ALL SELECT 'part/' || p_partkey, v, 'shared' FROM part, shared
+   WHERE NOT (contains(lower(p_name), v) OR contains(v, lower(p_name)))""")
 def j17(spark, sf):
-    n = I.read(spark, sf, "customer").agg(F.count(F.lit(1)).alias("n")).scalar()
-    return matching.veto_table(spark).withColumn("listings", n)
+    first = I.read(spark, sf, "part").select(F.split("p_name", " ")[0].alias("term"))
+    return matching.veto_table(part_terms(spark, sf), first)
 
 
-@query("a19_pack_inventory", f"""WITH {O.TERMS_CTE}, {I.LISTINGS_CTE}
-  SELECT pack AS pack_id, kind, count(*) AS terms, (SELECT count(*) FROM listings) AS listings FROM terms GROUP BY ALL""")
+@query("a19_pack_inventory", """SELECT p_brand AS pack_id, p_type AS kind, count(DISTINCT lower(p_name)) AS terms
+  FROM part GROUP BY ALL""")
 def a19(spark, sf):
-    rows = O.trade_rows()
-    terms = spark.createDataFrame(rows, "pack_id string, kind string, pos int, term string")
-    n = I.listings(spark, sf).agg(F.count(F.lit(1)).alias("n")).scalar()
-    return terms.groupBy("pack_id", "kind").agg(F.count(F.lit(1)).alias("terms")).withColumn("listings", n)
+    return matching.pack_inventory(I.read(spark, sf, "part").select(
+        F.col("p_brand").alias("pack_id"), F.col("p_type").alias("kind"), F.col("p_name").alias("term")))
 
 
 # ---- pages ------------------------------------------------------------------
