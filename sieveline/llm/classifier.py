@@ -88,7 +88,7 @@ def count_vectors(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         sums, seen = np.zeros(ROWS * DIM, np.int64), np.zeros(ROWS, np.int64)
-        for batch in text_batches(batches, 4 << 20):
+        for batch in text_batches(batches, 2 << 20):
             owner, *streams = tokens(utf8(batch.column("text")))
             for rows in streams:
                 seen += np.bincount(rows, minlength=ROWS)
