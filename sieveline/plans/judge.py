@@ -72,6 +72,8 @@ def measure_paid(df: DataFrame, brief: Brief, inputs: Inputs, tier: str) -> Data
         facts = None
         if inputs.site_pages is not None:
             facts = page_signals.site_facts(inputs.site_pages, ctx.this_year, inputs.now, inputs.fresh_days)
+            if "site_contact" in names:                        # read twice: for home pages and for contact pages
+                facts = settle(facts, "site-facts")
         df = _attach_pages(df, facts, "site_contact" in names)
         df = page_signals.with_mail_check(
             df, inputs.mail_domains if "site_contact" in names else None)
@@ -137,7 +139,7 @@ def honoured(brief: Brief) -> None:
 
 
 def judge(listings: DataFrame, brief: Brief, inputs: Inputs | None = None, *, dedupe: bool = True,
-          tally: bool = True, tally_table: DataFrame | None = None, materialise: bool = False) -> DataFrame:
+          tally: bool = True, tally_table: DataFrame | None = None, materialise: bool = True) -> DataFrame:
     """Verdicts of ``listings``: listing columns, ``signals``, outcome, score.
 
     ``materialise`` writes the free tier once to the shared folder when paid
