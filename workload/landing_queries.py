@@ -342,6 +342,42 @@ def k1(spark, sf):
         "cid", F.coalesce("score", F.lit("")).alias("score"), "outcome", "name")
 
 
+@query("k2_jsonl_sink", O.dentists("SELECT cid, outcome, score FROM verdicts"))
+def k2(spark, sf):
+    """Verdicts as JSON lines, read back."""
+    path = folder(spark, "lines")
+    files.write_jsonl(verdicts(spark, sf).select("cid", "outcome", "score", "extras", "ord"), path)
+    return spark.read.schema("cid string, outcome string, score double").json(path)
+
+
+@query("k10_reviews_sink", O.dentists("""SELECT '0x1a:0x' || lower(to_hex(o_custkey)) AS cid, o_orderkey AS id, v.name AS business
+   FROM orders JOIN verdicts v ON v.ord = o_custkey WHERE outcome = 'qualified' AND o_custkey % 2 = 0"""))
+def k10(spark, sf):
+    """The reviews of qualified businesses, written and read back."""
+    hexed = lambda c: F.concat(F.lit("0x1a:0x"), F.lower(F.hex(c)))                        # noqa: E731
+    v = verdicts(spark, sf).withColumn("cid", F.when(F.col("ord") % 2 == 0, hexed(F.col("ord"))).otherwise(F.col("cid")))
+    r = I.read(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), hexed(F.col("o_custkey")).alias("cid"),
+                                           F.lit("x").alias("business"))
+    path = folder(spark, "reviews")
+    files.write_reviews(r, v, path)
+    return spark.read.schema("cid string, id long, business string").json(path)
+
+
+@query("o5_pruned_ledger", O.dentists("""SELECT 'second' AS run, 'done' AS state, cid, outcome FROM verdicts"""))
+def o5_pruned(spark, sf):
+    """Two recorded runs, the older one pruned with all it owns."""
+    book = ledger.Ledger(spark, folder(spark, "book"))
+    rows = settle(verdicts(spark, sf), "to-save")
+    for at, run in enumerate(("first", "second")):
+        book.record_run(run, run, "running", float(at))
+        book.save(run, rows)
+        book.record_run(run, run, "done", float(at), at + 0.5)
+    assert book.prune(1) == ["first"] and book.verdicts("first") is None
+    kept = book.runs().select(F.col("run_id").alias("run"), "state")
+    return book.verdicts("second").select(
+        kept.select("run").scalar().alias("run"), kept.select("state").scalar().alias("state"), "cid", "outcome")
+
+
 @query("k3_json_document", O.dentists("SELECT cid, outcome FROM verdicts"))
 def k3(spark, sf):
     path = folder(spark, "doc")
