@@ -226,7 +226,8 @@ def near_duplicates(docs: DataFrame, more: list[str] | None = None) -> DataFrame
     roots = components(links(nodes))
     rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    answer = rooted.join(least, "root").select("fp", "component_id")
+    # a plain table, so that Spark can split a fingerprint that very many rows share
+    answer = settle(rooted.join(least, "root").select("fp", "component_id"), "components-of")
     return marked.join(answer, "fp")
 
 
@@ -243,7 +244,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     # a component whose rows all lack an id is told apart by nothing but its rows; each distinct text of it stays
     group = F.coalesce(F.col("component_id").cast("string"), F.concat(F.lit("none:"), F.col("fp").cast("string")))
     seen = settle(seen.withColumn("grp", group).withColumn("key", order), "near-groups")
-    first = seen.groupBy("grp").agg(F.min("key").alias("first"))
+    first = settle(seen.groupBy("grp").agg(F.min("key").alias("first")), "near-firsts")
     marked = seen.join(first, "grp").select("doc_id", "text_hash", "times", (F.col("key") == F.col("first")).alias("stays"))
     gone = marked.filter("NOT stays").select(F.col("doc_id").alias("d"), F.col("text_hash").alias("h"))
     same = (F.col("doc_id").eqNullSafe(F.col("d"))) & (F.col("text_hash") == F.col("h"))
