@@ -10,6 +10,8 @@ a word depends on nothing before it. Sums change along the paths to the root.
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -96,9 +98,17 @@ def path_update(tokens: list[int], sums: list[int], changed: list[int]) -> list[
         below, size, base = sums[base:base + width], width, base + width
 
 
-def edit(counter: Counter, text: str, chars: list[int], tokens: list[int], sums: list[int], start: int, end: int,
-         new: str) -> tuple[str, list[int], list[int], list[int], int]:
-    """The document after ``text[start:end]`` became ``new``; and how many characters were encoded for it."""
+class Edit(NamedTuple):
+    """What an edit leaves to be counted: the text after it, the words to encode and the segments they replace."""
+    text: str
+    words: list[str]
+    first: int
+    last: int
+    encoded: int
+
+
+def place_edit(counter: Counter, text: str, chars: list[int], start: int, end: int, new: str) -> Edit:
+    """Splits what ``text[start:end]`` becoming ``new`` touches, and no more."""
     start = min(max(start, 0), len(text))
     end = min(max(end, start), len(text))
     bounds = np.concatenate([[0], np.cumsum(chars)]).astype(np.int64)
@@ -106,23 +116,22 @@ def edit(counter: Counter, text: str, chars: list[int], tokens: list[int], sums:
     first = min(first, max(0, len(chars) - 1))
     begin = int(bounds[first]) if chars else 0
     after, shift = text[:start] + new + text[end:], len(new) - (end - start)
-    old_starts = {int(b) + shift: i for i, b in enumerate(bounds.tolist()) if b >= end}
+    tail = int(np.searchsorted(bounds, end))
+    old_starts = {b + shift: i for i, b in enumerate(bounds[tail:].tolist(), tail)}
     last, stop = len(chars), len(after)
-    words: list[str] = []
     # encode a little past the edit, and on only while no word ends where an old segment began
     reach = start + len(new) + counter.context + SEGMENT
     while True:
         upto = min(len(after), reach)
         cut = upto < len(after)
-        # words near the cut may go on beyond it: they aren't trusted
         words, at = counter.split(after[begin:upto]), begin
         found = None
         for k, w in enumerate(words):
-            if at in old_starts and at >= start + len(new) and k:
+            if k and at >= start + len(new) and at in old_starts:
                 found = (k, at)
                 break
             at += len(w)
-            if cut and at > upto - counter.context:
+            if cut and at > upto - counter.context:            # words near the cut may go on beyond it
                 break
         if found:
             words, stop = words[:found[0]], found[1]
@@ -131,15 +140,27 @@ def edit(counter: Counter, text: str, chars: list[int], tokens: list[int], sums:
         if not cut:
             break
         reach = begin + 2 * (reach - begin)
-    fresh = segments(words, counter.counts(words))
-    made_chars = chars[:first] + fresh[0] + chars[last:]
-    made_tokens = tokens[:first] + fresh[1] + tokens[last:]
+    return Edit(after, words, first, last, stop - begin)
+
+
+def count_edit(counter: Counter, made: Edit, chars: list[int], tokens: list[int], sums: list[int]):
+    """The document's segments and sums with the edit's words counted."""
+    fresh = segments(made.words, counter.counts(made.words))
+    made_chars = chars[:made.first] + fresh[0] + chars[made.last:]
+    made_tokens = tokens[:made.first] + fresh[1] + tokens[made.last:]
     if len(made_tokens) == len(tokens):
-        moved = list(range(first, first + len(fresh[1])))
+        moved = list(range(made.first, made.first + len(fresh[1])))
         sums = path_update(made_tokens, sums, moved) if moved else sums
     else:
         sums = tree(made_tokens)
-    return after, made_chars, made_tokens, sums, stop - begin
+    return made.text, made_chars, made_tokens, sums
+
+
+def edit(counter: Counter, text: str, chars: list[int], tokens: list[int], sums: list[int], start: int, end: int,
+         new: str) -> tuple[str, list[int], list[int], list[int], int]:
+    """The document after ``text[start:end]`` became ``new``; and how many characters were encoded for it."""
+    made = place_edit(counter, text, chars, start, end, new)
+    return *count_edit(counter, made, chars, tokens, sums), made.encoded
 
 
 def build(docs: DataFrame, path: str, *more: str) -> DataFrame:
@@ -182,14 +203,19 @@ def apply_edits(trees: DataFrame, path: str) -> DataFrame:
     def run(batches):
         counter = Counter(spec.value)
         for batch in texts(batches, 2 << 20):
-            rows = []
-            for r in batch.to_pylist():
-                state, encoded = (r["text"] or "", r["chars"], r["tokens"], r["sums"]), 0
-                for e in r["edits"] or ():
-                    if e is not None:
-                        *state, n = edit(counter, *state, e["start"] or 0, e["end"] or 0, e["text"] or "")
-                        encoded += n
-                rows.append((r["doc_id"], *state, total(r["sums"]), total(state[3]), encoded))
+            given = batch.to_pylist()
+            states = [(r["text"] or "", r["chars"], r["tokens"], r["sums"]) for r in given]
+            todo = [[e for e in r["edits"] or () if e is not None] for r in given]
+            encoded = [0] * len(given)
+            # the first edits of all documents, then the second ones: words are merged for all together
+            for turn in range(max(map(len, todo), default=0)):
+                made = {i: place_edit(counter, *states[i][:2], e[turn]["start"] or 0, e[turn]["end"] or 0, e[turn]["text"] or "")
+                        for i, e in enumerate(todo) if turn < len(e)}
+                counter.learn({w for m in made.values() for w in m.words})
+                for i, m in made.items():
+                    states[i] = count_edit(counter, m, *states[i][1:])
+                    encoded[i] += m.encoded
+            rows = [(r["doc_id"], *state, total(r["sums"]), total(state[3]), n) for r, state, n in zip(given, states, encoded)]
             kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.list_(pa.int64())],
                      pa.int64(), pa.int64(), pa.int64()]
             names = ["doc_id", "text", "chars", "tokens", "sums", "n_tokens_before", "n_tokens", "n_encoded"]
