@@ -40,7 +40,7 @@ from .registry import query
 LENGTH = 200                 # bytes of a repeated string
 GRAM = 32                    # bytes an anchor is chosen by
 WIDE = 20_000                # distinct fragments of an anchor that one task sorts
-PIECE = 1 << 20              # bytes of text hashed at once
+PIECE = 256 << 10            # bytes of text hashed at once
 ROWS = 256                   # texts unpacked at once
 SORTED = 8_000               # fragments sorted at once (whole groups; a group may be larger)
 
@@ -237,8 +237,7 @@ def covered(rows: list[tuple[int, int, int, bytes]]) -> tuple[np.ndarray, np.nda
 def spans(docs: DataFrame) -> DataFrame:
     """``th, spans`` of the texts that hold repeated strings: byte intervals, as found (they may overlap)."""
     texts = keyed(docs)
-    # both sides of a join on anchors or texts are plain tables, so that Spark can split what one of them repeats
-    held = settle(placed_fragments(texts).join(settle(anchor_counts(texts), "anchors"), "anchor"), "fragments")
+    held = settle(placed_fragments(texts).join(anchor_counts(texts), "anchor"), "fragments")
     distinct = held.groupBy("anchor", "frag").agg(F.min(F.struct("th", "place")).alias("at"), F.count(F.lit(1)).alias("m"))
     kinds = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     distinct = settle(distinct.join(kinds, "anchor"), "distinct-fragments")
@@ -361,7 +360,7 @@ def cut_out(raw: bytes, removed: list[tuple[int, int]]) -> bytes:
 
 
 def with_spans(docs: DataFrame, *more: str) -> DataFrame:
-    return packed(keyed(docs, *more), *more).join(settle(spans(docs), "spans"), "th", "left")
+    return packed(keyed(docs, *more), *more).join(spans(docs), "th", "left")
 
 
 def measure(docs: DataFrame, with_runs: bool = True) -> DataFrame:
