@@ -41,19 +41,26 @@ BLOCK = 4_096                # fingerprints of one part value compared in one pi
 PAIR_COST = 0.01             # of comparing two fingerprints, against filing one
 
 
-def fingerprint(raw: bytes) -> int:
-    """The SimHash of a text's word shingles, as a signed 64-bit number."""
+def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
+    """A hash of each ``width`` words in a row, repeats too; a shorter text is one shingle, a text without words none."""
     words = raw.translate(LOWER_BYTES).split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     flat, at, starts, ends = memoryview(b" ".join(words)), 0, [], []
     for n in map(len, words):
         starts.append(at)
         ends.append(at + n)
         at += n + 1
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(flat[a:b], SEED) for a, b in zip(starts, ends[min(SHINGLE, len(words)) - 1:])]
-    h = np.array(hashes, np.uint64)
+    hashes = [digest(flat[a:b], SEED) for a, b in zip(starts, ends[min(width, len(words)) - 1:])]
+    return np.array(hashes, np.uint64)
+
+
+def fingerprint(raw: bytes) -> int:
+    """The SimHash of a text's word shingles, as a signed 64-bit number."""
+    h = shingle_hashes(raw, SHINGLE)
+    if not len(h):
+        return 0
     ones = np.zeros(BITS, np.int64)
     for part in np.array_split(h, len(h) // 100_000 + 1):
         ones += np.unpackbits(part.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -231,14 +238,14 @@ def near_duplicates(docs: DataFrame, more: list[str] | None = None) -> DataFrame
     return marked.join(answer, "fp")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, linked=near_duplicates) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest id, ties by its text's hash.
 
-    Only ids and hashes are shuffled to decide; a row repeated with id and text
+    ``linked`` finds the groups: rows with ``fp``, alike for copies, and ``component_id``. Only ids and hashes are shuffled to decide; a row repeated with id and text
     stays once.
     """
     hashed = docs.select(*DOCUMENT_COLUMNS).withColumn("text_hash", F.xxhash64("text"))
-    seen = near_duplicates(hashed, ["text_hash"]).groupBy("component_id", "doc_id", "text_hash").agg(
+    seen = linked(hashed, ["text_hash"]).groupBy("component_id", "doc_id", "text_hash").agg(
         F.min("fp").alias("fp"), F.count(F.lit(1)).alias("times"))
     order = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("h"))
     # a component whose rows all lack an id is told apart by nothing but its rows; each distinct text of it stays
