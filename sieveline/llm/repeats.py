@@ -299,7 +299,8 @@ def spans(docs: DataFrame) -> DataFrame:
     answers = whole.union(found)
     hits = held.join(answers, ["anchor", "frag"]).selectExpr(
         "th", f"{START} + low AS a", f"least({START} + high, {START} + {WINDOWS} + {LENGTH - 1}) AS b")
-    return hits.groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    # every copy of a text has the same hits: one of each, so that a list is bounded by its text however many copies there are
+    return hits.distinct().groupBy("th").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
 
 CUT = pa.schema([("anchor", pa.int64()), ("frag", pa.int64()), ("m", pa.int64()), ("wide", pa.bool_()),

@@ -52,6 +52,15 @@ def test_matches_brute_force(spark, documents, monkeypatch):
     assert R.measure(documents().limit(0)).collect() == []
 
 
+def test_spans_of_copies_are_listed_once(spark, documents):
+    r = random.Random(3)
+    text = "".join(r.choice("abcdefghij ") for _ in range(900))
+    copies = [(i, text) for i in range(40)]
+    got = R.spans(documents(*copies)).collect()
+    assert len(got) == 1 and 0 < len(got[0].spans) == len({(x.a, x.b) for x in got[0].spans}) <= 900
+    assert sorted((tuple(x)[:5] for x in R.measure(documents(*copies)).collect()), key=str) == brute(copies)
+
+
 def test_removal_keeps_rows_and_whole_characters(spark, documents):
     rows = made(4)
     got = R.remove(documents(*rows)).collect()
