@@ -7,18 +7,25 @@ made a third of all searches is never collected into one task.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .ordered import numbered, with_halo
+from ..session import settle
+from .ordered import running_total, with_halo
 
 WARMUP = 3
 COLLAPSE = 0.6
 RECENT = 5
 PAGE_CAPS = (10, 20)
 CAP_HEADROOM = 2.0
+DIGIT = 10                   # bits of a yield settled at a time
+DIGITS = 1 << DIGIT
+STRETCH = 64                 # rows compared one by one between two counts
 
 
 def place_yields(listings: DataFrame, planned: DataFrame) -> DataFrame:
@@ -62,31 +69,16 @@ def diagnose(found: Column, base: Column) -> Column:
 def running_health(yields: DataFrame, per: str = "source", order: str = "pos",
                    size: int = 4096) -> DataFrame:
     """Each search against the baseline of the searches up to it: adds
-    ``baseline``, ``reason`` and ``back_off``.
+    ``baseline``, ``reason`` and ``back_off``. ``order`` is a unique whole
+    number within each ``per``.
 
-    Searches are cut into even blocks. A block starts from the counts per yield
-    of all earlier blocks and walks its own rows, so no task holds a source's
-    whole history.
+    A running order statistic, found digit by digit (``_descend``): neither a
+    source's history nor its distinct yields are ever held by one task.
     """
-    df = numbered(yields, order, "rn", per=per)
-    block = F.floor((F.col("rn") - 1) / size)
-    own = df.withColumn("_block", block)
-    counts = own.groupBy(per, "_block", "found").agg(F.count(F.lit(1)).alias("times"))
-    # Earlier counts per (source, yield): for each block, what stood before it.
-    last = own.groupBy(per).agg(F.max("_block").alias("_last"))
-    earlier = (counts.join(last, per)
-               .filter(F.col("_block") < F.col("_last"))
-               .withColumn("_block", F.explode(F.sequence(F.col("_block") + 1, F.col("_last"))))
-               .groupBy(per, "_block", "found").agg(F.sum("times").alias("times")))
-    rows = own.select(per, "_block", "rn", F.col(order).alias("_order"), "found", F.lit(0).alias("times"))
-    stock = earlier.select(per, "_block", F.lit(None).cast("long").alias("rn"),
-                           F.lit(None).cast("long").alias("_order"), "found",
-                           F.col("times").cast("int").alias("times"))
-    walked = (rows.withColumn("rn", F.col("rn").cast("long")).withColumn("_order", F.col("_order").cast("long"))
-              .unionByName(stock).groupBy(per, "_block")
-              .applyInPandas(_walk_block(per), f"{per} string, rn long, baseline double"))
-    out = df.join(walked, [per, "rn"])
-    out = with_halo(out, "rn", RECENT - 1)
+    df = settle(running_total(yields, order, {"rn": F.lit(1), "_n": (F.col("found") >= 1).cast("long")}, per=per), "searches")
+    base = _running_baseline(df, per, size)
+    same = F.col(per).eqNullSafe(F.col("_per")) & (F.col("rn") == F.col("_t"))
+    out = with_halo(df.drop("_n").join(base, same, "left").drop("_per", "_t"), "rn", RECENT - 1)
     trail = W.partitionBy(per, "_block").orderBy("rn").rowsBetween(1 - RECENT, 0)
     recent = F.avg("found").over(trail)
     seen = F.count(F.lit(1)).over(trail)
@@ -96,41 +88,88 @@ def running_health(yields: DataFrame, per: str = "source", order: str = "pos",
         .filter("_own").drop("_block", "_own", "rn"))
 
 
-def _walk_block(per: str):
-    def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        from bisect import insort
-
-        stock = frame[frame["rn"].isna()]
-        rows = frame[frame["rn"].notna()].sort_values("rn")
-        tally = dict(zip(stock["found"].tolist(), stock["times"].tolist()))
-        tally.pop(0, None)
-        values = sorted(tally)
-        n = int(sum(tally.values()))
-        out = []
-        for found in rows["found"].tolist():
-            if found >= 1:
-                if found not in tally:
-                    tally[found] = 0
-                    insort(values, found)
-                tally[found] += 1
-                n += 1
-            if n < WARMUP:
-                out.append(None)
-                continue
-            start = n // 2
-            half = n - start
-            want = (start + (half - 1) // 2, start + half // 2)
-            got, upto = [], 0
-            for v in values:
-                upto += tally[v]
-                while len(got) < 2 and want[len(got)] < upto:
-                    got.append(v)
-                if len(got) == 2:
-                    break
-            out.append((got[0] + got[1]) / 2)
-        return pd.DataFrame({per: frame[per].iloc[0] if len(rows) else [], "rn": rows["rn"].astype("int64"),
-                             "baseline": out})
-    return walk
+def _running_baseline(df: DataFrame, per: str, size: int) -> DataFrame:
+    """``_per, _t, baseline`` of each search by which enough were non-empty; ``df`` has ``rn`` and ``_n``, the non-empty ones so far."""
+    most = df.agg(F.max("found")).first()[0] or 0
+    levels = max(1, -(-int(most).bit_length() // DIGIT))
+    key = F.col(per).alias("_per")
+    values = df.filter("found >= 1").select(key, F.col("rn").alias("_t"), F.col("found").cast("long").alias("_value"))
+    # of the n non-empty yields so far, in order, the upper half starts at n // 2
+    ranks = F.array(F.expr("_n div 2 + (_n - _n div 2 - 1) div 2"), F.expr("_n div 2 + (_n - _n div 2) div 2"))
+    asked = df.filter(F.col("_n") >= WARMUP).select(key, F.col("rn").alias("_t"), F.posexplode(ranks).alias("_which", "_rank")) \
+        .withColumn("_prefix", F.lit(0).cast("long"))
+    for level in reversed(range(levels)):
+        asked = _descend(values, asked, level, size)
+    return asked.groupBy("_per", "_t").agg(F.avg("_prefix").alias("baseline"))
+
+
+def block_stock(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts per digit of all earlier blocks, for each block of ``keys`` but the first. A block has at least as many
+    rows as there are digits, so these rows are never more than the input's."""
+    counts = rows.filter("_digit IS NOT NULL").groupBy(*keys, "_block", "_digit").agg(F.count(F.lit(1)).alias("_times"))
+    blocks = rows.groupBy(*keys).agg(F.max("_block").alias("_last")).filter("_last > 0").select(
+        *[F.col(k).alias(f"_of{k}") for k in keys], "_last")
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys])
+    grid = counts.select(*keys, "_digit").distinct().join(blocks, same).select(
+        *keys, "_digit", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_last"))).alias("_block"), F.lit(0).alias("_times"))
+    whole = counts.unionByName(grid).groupBy(*keys, "_digit", "_block").agg(F.sum("_times").alias("_times"))
+    before = W.partitionBy(*keys, "_digit").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    return whole.withColumn("_times", F.sum("_times").over(before)).filter("_times > 0")
+
+
+def _descend(values: DataFrame, asked: DataFrame, level: int, size: int) -> DataFrame:
+    """``asked`` with one more digit of the value that has its rank among the values up to it.
+
+    ``values`` has ``_per, _t, _value``; ``asked`` has ``_per, _t, _which, _rank`` and ``_prefix``, the digits found so far.
+    Values and questions of one prefix stand in one order and are cut into
+    blocks; a block knows how often each digit came before it.
+    """
+    shift = DIGIT * level
+    own = values.select("_per", F.shiftright("_value", shift + DIGIT).alias("_prefix"), (F.col("_t") * 3).alias("_seq"),
+                        F.shiftright("_value", shift).bitwiseAND(DIGITS - 1).alias("_digit"), F.lit(None).cast("long").alias("_rank"))
+    questions = asked.select("_per", "_prefix", (F.col("_t") * 3 + 1 + F.col("_which")).alias("_seq"),
+                             F.lit(None).cast("long").alias("_digit"), "_rank")
+    keys = ["_per", "_prefix"]
+    rows = running_total(own.unionByName(questions), "_seq", {"_nth": F.lit(1)}, per=keys).withColumn(
+        "_block", F.floor((F.col("_nth") - 1) / max(size, DIGITS)))
+    rows = settle(rows, "digits")
+    stock = block_stock(rows, keys).select(*keys, F.lit(None).cast("long").alias("_seq"), "_digit", F.lit(None).cast("long").alias("_rank"),
+                                           "_block", F.col("_times").cast("long").alias("_times"))
+    fed = rows.select(*keys, "_seq", "_digit", "_rank", "_block", F.lit(1).cast("long").alias("_times")).unionByName(stock)
+    kind = values.schema["_per"].dataType.simpleString()
+    found = fed.groupBy(*keys, "_block").applyInPandas(
+        _bisect, f"_per {kind}, _prefix long, _seq long, _rank long")
+    return found.select("_per", F.expr("_seq div 3").alias("_t"), (F.col("_seq") % 3 - 1).cast("int").alias("_which"), "_rank", "_prefix")
+
+
+def _bisect(frame: pd.DataFrame) -> pd.DataFrame:
+    """A block's questions, all bisected at once: on counts cumulated over digits and stretches of ``STRETCH`` rows, and the rows of the stretch."""
+    stock, rows = frame[frame["_seq"].isna()], frame[frame["_seq"].notna()].sort_values("_seq")
+    n = len(rows)
+    value = rows["_digit"].notna().to_numpy()
+    digit = np.where(value, rows["_digit"].fillna(0).to_numpy(), DIGITS).astype(np.int64)        # beyond all for a question
+    stretch = np.arange(n) // STRETCH
+    upto = np.zeros((stretch[-1] + 2 if n else 1, DIGITS), np.int64)
+    np.add.at(upto, (stretch[value] + 1, digit[value]), 1)
+    np.add.at(upto, (np.zeros(len(stock), np.int64), stock["_digit"].to_numpy(np.int64)), stock["_times"].to_numpy(np.int64))
+    upto = upto.cumsum(0).cumsum(1)                                                          # [stretch, digit]: before it, at most the digit
+    inside = np.concatenate([digit, np.full(-n % STRETCH, DIGITS)]).reshape(-1, STRETCH)
+    at = np.flatnonzero(~value)
+    rank = rows["_rank"].to_numpy()[at].astype(np.int64)
+    before = np.arange(STRETCH) < (at % STRETCH)[:, None]
+
+    def count(most: np.ndarray) -> np.ndarray:
+        """How many values before each question are ``most`` or less."""
+        held = np.where(most < 0, 0, upto[stretch[at], np.maximum(most, 0)])
+        return held + ((inside[stretch[at]] <= most[:, None]) & before).sum(1)
+
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), DIGITS - 1)
+    for _ in range(DIGIT):
+        middle = (low + high) // 2
+        left = count(middle) > rank
+        low, high = np.where(left, low, middle + 1), np.where(left, middle, high)
+    return pd.DataFrame({"_per": rows["_per"].to_numpy()[at], "_prefix": rows["_prefix"].to_numpy()[at].astype(np.int64) * DIGITS + high,
+                         "_seq": rows["_seq"].to_numpy()[at].astype(np.int64), "_rank": rank - count(high - 1)})
 
 
 def summary(yields: DataFrame, per: str = "source", order: str = "pos") -> DataFrame:

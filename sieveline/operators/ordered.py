@@ -18,18 +18,22 @@ from ..session import settle
 ROWS_PER_BLOCK = 100_000
 
 
-def _blocked(df: DataFrame, order: str, blocks: int | None, per: str | None = None) -> DataFrame:
+def _keys(per: str | list[str] | None) -> list[str]:
+    return [per] if isinstance(per, str) else list(per or [])
+
+
+def _blocked(df: DataFrame, order: str, blocks: int | None, per: str | list[str] | None = None) -> DataFrame:
     """Adds ``_block``: consecutive rows in ``order`` (within each ``per`` key), cut by their number."""
     blocks = blocks or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = [per] if per else []
+    keys = _keys(per)
     return settle(df.repartitionByRange(blocks, *keys, order).withColumn("_block", F.spark_partition_id()), "ordered")
 
 
 def running_total(df: DataFrame, order: str, totals: dict[str, Column], blocks: int | None = None,
-                  per: str | None = None) -> DataFrame:
+                  per: str | list[str] | None = None) -> DataFrame:
     """Adds inclusive running sums in ``order`` (a unique whole number), all
     rows together or within each ``per`` key."""
-    keys = [per] if per else []
+    keys = _keys(per)
     df = _blocked(df.withColumns({f"_v_{k}": v for k, v in totals.items()}), order, blocks, per)
     sums = df.groupBy(*keys, "_block").agg(*[F.sum(f"_v_{k}").alias(f"_b_{k}") for k in totals])
     earlier = W.partitionBy(*keys).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)

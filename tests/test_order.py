@@ -75,6 +75,29 @@ def test_health(spark):
     assert told["a"].suspects >= 6 and [told[s].verdict for s in "bcd"] == ["healthy"] * 3
 
 
+def test_running_baseline_over_blocks_and_digits(spark):
+    """Many searches of one source, yields of two digits, and a source without a name."""
+    rng = random.Random(8)
+    traces = {"hot": [rng.choice([0, rng.randrange(40), rng.randrange(5000)]) for _ in range(5000)], None: [9, 0, 5000, 7, 1], "few": [3, 4]}
+    df = spark.createDataFrame([(s, 10 * i, c) for s, cs in traces.items() for i, c in enumerate(cs)], "source string, pos long, found long")
+    got = {(r.source, r.pos): r.baseline for r in health.running_health(df).collect()}
+    for s, cs in traces.items():
+        assert [got[s, 10 * i] for i in range(len(cs))] == running(cs)
+
+
+def test_block_stock_is_linear(spark):
+    """Counts carried from block to block are no more rows than the input has."""
+    rows = spark.range(40_000).select(F.lit("a").alias("_per"), F.lit(0).cast("long").alias("_prefix"), F.col("id").alias("_seq"),
+                                      (F.xxhash64("id") % health.DIGITS + health.DIGITS).alias("_d"), F.floor(F.col("id") / health.DIGITS).alias("_block"))
+    rows = rows.withColumn("_digit", F.pmod("_d", F.lit(health.DIGITS)))
+    stock = health.block_stock(rows, ["_per", "_prefix"])
+    assert stock.count() <= 40_000
+    last = stock.filter(F.col("_block") == 39).agg(F.sum("_times")).first()[0]
+    assert last == 39 * health.DIGITS
+    plan = stock._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cartesian" not in plan and plan.count("Generate explode") == 1
+
+
 def test_skewed_lookup_and_caps(spark):
     rows = [(str(i), "hot" if i % 3 == 0 else (None if i % 3 == 1 else f"k{i % 50}"), i) for i in range(3000)]
     left = spark.createDataFrame(rows, "cid string, key string, ord int")
