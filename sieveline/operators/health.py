@@ -7,10 +7,12 @@ made a third of all searches is never collected into one task.
 
 from __future__ import annotations
 
+import sys
 from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 from ..session import settle
 from .ordered import running_total, with_halo
 
+# the block function travels to the executors by value
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 WARMUP = 3
 COLLAPSE = 0.6
 RECENT = 5

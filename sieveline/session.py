@@ -66,3 +66,40 @@ def settle(df: DataFrame, label: str = "stage") -> DataFrame:
     path = f"{scratch_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+class Scratch:
+    """Settled tables of one operator, removed when they have served.
+
+    ``drop`` removes a table that a later one has replaced; leaving the scope
+    removes all that were not handed out with ``keep``.
+    """
+
+    def __init__(self):
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for df, _ in list(self.paths.values()):
+            self.drop(df)
+
+    def settle(self, df: DataFrame, label: str) -> DataFrame:
+        path = f"{scratch_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        made = df.sparkSession.read.parquet(path)
+        self.paths[id(made)] = made, path
+        return made
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` for good: it is settled elsewhere than the scope's tables."""
+        return settle(df, "kept")
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for df in tables:
+            if df is not None and id(df) in self.paths:
+                _, path = self.paths.pop(id(df))
+                spark = df.sparkSession
+                where = spark._jvm.org.apache.hadoop.fs.Path(path)
+                where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
