@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sieveline.session import settle
+from sieveline.session import Scratch
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -27,15 +27,17 @@ def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a``, ``b``): the smallest node it can reach.
 
     Rounds grow with the logarithm of the longest path. Each round is written
-    to the shared folder, so a lost executor costs one round at most; only its
-    size and checksum come to the driver.
+    to the shared folder, so a lost executor costs one round at most, and
+    replaces the one before it; only its size and checksum come to the driver.
     """
-    state, edges = None, settle(edges.filter("a <> b").select("a", "b"), "components")
-    while True:
-        edges = settle(_small(_large(edges)), "components")
-        got = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if got == state:
-            break
-        state = got
-    stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return stars.union(stars.select(F.col("root").alias("node"), "root")).distinct()
+    with Scratch() as scratch:
+        state, edges = None, scratch.settle(edges.filter("a <> b").select("a", "b"), "components")
+        while True:
+            before, edges = edges, scratch.settle(_small(_large(edges)), "components")
+            scratch.drop(before)
+            got = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+            if got == state:
+                break
+            state = got
+        stars = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return scratch.keep(stars.union(stars.select(F.col("root").alias("node"), "root")).distinct())
