@@ -30,6 +30,7 @@ from .transducer import Transducer, compile_words
 # (about 40 bytes a word); all others are merged.
 LEXICON = 50_000
 COUNTED = 300_000            # distinct words a task holds before it hands its counts on
+BATCH = 2 << 20              # bytes of text encoded together: it bounds a task's arrays, of which decoding makes the largest
 LONG = 64                    # bytes; longer words are merged one by one
 
 # The pattern that splits text before merging, with white space
@@ -234,7 +235,7 @@ def word_counts(docs: DataFrame, special: dict[str, int]) -> DataFrame:
         def rows():
             return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()),
                                                pa.array(list(total.values()), pa.int64())], names=["word", "n"])
-        for batch in text_batches(batches, 4 << 20):
+        for batch in text_batches(batches, BATCH):
             number, flat = Numbering(), []
             for text in batch.column("text").to_pylist():
                 flat += map(number.__getitem__, split(text or ""))
@@ -296,7 +297,7 @@ def encode(docs: DataFrame, path: str, size: int = LEXICON, with_ids: bool = Tru
             made["ids"] = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
         return made
 
-    return map_texts(docs, ["doc_id", "text"], schema, step)
+    return map_texts(docs, ["doc_id", "text"], schema, step, BATCH)
 
 
 def vocabulary() -> str:

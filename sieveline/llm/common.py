@@ -42,12 +42,13 @@ def utf8(column: pa.Array) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
 
 
-def map_texts(docs: DataFrame, columns: list[str], schema: str, step: Callable[[pa.RecordBatch], dict | None]) -> DataFrame:
-    """``step`` over batches of ``columns`` of ``docs``; it returns columns by name."""
+def map_texts(docs: DataFrame, columns: list[str], schema: str, step: Callable[[pa.RecordBatch], dict | None],
+              limit: int = 8 << 20) -> DataFrame:
+    """``step`` over batches of ``columns`` of ``docs``, ``limit`` bytes of text each; it returns columns by name."""
     names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        for batch in texts(batches):
+        for batch in texts(batches, limit):
             made = step(batch)
             if made is not None:
                 yield pa.RecordBatch.from_arrays([as_arrow(made[n]) for n in names], names=names)
