@@ -1,23 +1,23 @@
 """The verdict ledger: runs, verdicts and units of work as parquet tables.
 
-Parquet has no upsert. A write replaces the run's partition with the overlay of
-new rows on old ones, so repeating a write changes nothing, and readers prune to
-the one run they ask for.
+Verdicts are appended, never rewritten: each save of a run is a version of its
+own, removals are rows that say so, and readers take the latest row of each id.
+A run saved once is read as it lies. ``compact`` folds a run's versions into one.
 """
 
 from __future__ import annotations
 
 import re
-import uuid
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.listings import latest
-from ..operators.memory import overlay
-from ..session import settle
+from ..session import Scratch, settle
 
 PLAIN_ID = re.compile(r"[\w.-]+")       # run ids that stand in a path as they are
+VERSION, GONE = "_version", "_gone"
 
 
 class Ledger:
@@ -30,25 +30,48 @@ class Ledger:
     def _read(self, table: str) -> DataFrame | None:
         from pyspark.errors import AnalysisException
         try:
-            # one run has one schema; all runs together may have grown fields
-            merged = "run_id=" not in table
-            return self.spark.read.option("mergeSchema", merged).parquet(self._path(table))
+            # versions of a run, and runs, may have grown fields
+            return self.spark.read.option("mergeSchema", True).parquet(self._path(table))
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" in str(exc) or "UNABLE_TO_INFER_SCHEMA" in str(exc):
                 return None
             raise
 
+    def _folder(self, path: str):
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where, where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     # -- verdicts
 
-    def verdicts(self, run_id: str, limit: int | None = None, offset: int = 0) -> DataFrame | None:
-        """A run's rows by id; partition pruning reads no other run."""
-        folder = f"verdicts/run_id={run_id}"
-        rows = self._read(folder) if PLAIN_ID.fullmatch(run_id) else self._read("verdicts")
+    def _run(self, run_id: str) -> str:
+        """The folder of a run; ids that can't stand in a path are spelt in hex."""
+        name = run_id if PLAIN_ID.fullmatch(run_id) and not run_id.startswith("x--") else "x--" + run_id.encode().hex()
+        return f"verdicts/run_id={name}"
+
+    def versions(self, run_id: str) -> list[int]:
+        """The versions a run has, oldest first: as many as it was saved since it was last compacted."""
+        where, fs = self._folder(self._path(self._run(run_id)))
+        if not fs.exists(where):
+            return []
+        names = [status.getPath().getName() for status in fs.listStatus(where)]
+        return sorted(int(n.split("=")[1]) for n in names if n.startswith(VERSION + "="))
+
+    def _live(self, run_id: str, columns: list[str] | None = None) -> DataFrame | None:
+        """The latest row of each id; ``columns`` besides it, or all."""
+        versions = self.versions(run_id)
+        rows = self._read(self._run(run_id)) if versions else None
         if rows is None:
             return None
-        if "run_id" in rows.columns:
-            rows = rows.filter(F.col("run_id") == run_id).drop("run_id")
-        if limit is not None:
+        if columns is not None:
+            rows = rows.select("cid", *columns, VERSION, GONE)
+        if len(versions) > 1:
+            rows = latest(rows, "cid", VERSION)
+        return rows.filter(~F.col(GONE)).drop(VERSION, GONE)
+
+    def verdicts(self, run_id: str, limit: int | None = None, offset: int = 0) -> DataFrame | None:
+        """A run's rows by id; no other run is read."""
+        rows = self._live(run_id)
+        if rows is not None and limit is not None:
             rows = rows.orderBy("cid").offset(offset).limit(limit)
         return rows
 
@@ -59,39 +82,75 @@ class Ledger:
         return rows_for(self.verdicts(run_id), cids)
 
     def find(self, run_id: str, cid: str) -> DataFrame:
-        return find(self.verdicts(run_id), cid)
-
-    def _replace(self, run_id: str, rows: DataFrame) -> None:
-        # Settled first: the rows may be derived from the partition replaced.
-        done = settle(rows, "ledger")
-        (done.withColumn("run_id", F.lit(run_id)).sortWithinPartitions("outcome", "cid")
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy("run_id").parquet(self._path("verdicts")))
-
-    def save(self, run_id: str, new: DataFrame) -> int:
-        """Upsert by id; returns how many rows the run did not have."""
-        old = self.verdicts(run_id)
-        new = settle(new, "new-verdicts")
-        fresh = new if old is None else new.join(old.select("cid"), "cid", "left_anti")
-        n = fresh.count()
-        self._replace(run_id, new if old is None else overlay(old, new))
+        """One row by id. The id is looked for in every version first, so that files that can't hold it are skipped."""
+        rows = self._read(self._run(run_id)).filter(F.col("cid").isin(cid, cid.lower()))
+        return find(latest(rows, "cid", VERSION).filter(~F.col(GONE)).drop(VERSION, GONE), cid)
+
+    def _append(self, run_id: str, rows: DataFrame, gone: bool, version: int | None) -> None:
+        """One version; writing the same version again replaces it."""
+        version = time.time_ns() if version is None else version
+        rows.withColumn(GONE, F.lit(gone)).sortWithinPartitions("cid").write.mode("overwrite").parquet(
+            f"{self._path(self._run(run_id))}/{VERSION}={version}")
+
+    def save(self, run_id: str, new: DataFrame, version: int | None = None) -> int:
+        """Upsert by id; returns how many rows the run did not have.
+
+        Only ``new`` is written. A ``version`` (a stream's batch number, say)
+        makes a repeated save one with the first.
+        """
+        with Scratch() as scratch:
+            new = scratch.settle(new, "new-verdicts")
+            old = self._live(run_id, [])
+            fresh = new.select("cid") if old is None else new.select("cid").join(old, "cid", "left_anti")
+            n = fresh.count()
+            self._append(run_id, new, False, version)
         return n
 
-    def remove(self, run_id: str, cids: DataFrame) -> int:
-        old = self.verdicts(run_id)
-        gone = old.join(cids.select("cid").distinct(), "cid", "left_semi").count()
-        if gone:
-            self._replace(run_id, old.join(cids.select("cid").distinct(), "cid", "left_anti"))
-        return gone
+    def remove(self, run_id: str, cids: DataFrame, version: int | None = None) -> int:
+        """Hides rows by id; returns how many the run had. Only their ids are written."""
+        old = self._live(run_id, [])
+        if old is None:
+            return 0
+        with Scratch() as scratch:
+            gone = scratch.settle(old.join(cids.select("cid").distinct(), "cid", "left_semi"), "removed")
+            n = gone.count()
+            if n:
+                self._append(run_id, gone, True, version)
+        return n
+
+    def compact(self, run_id: str) -> None:
+        """Folds a run's versions into one. Older ones go, oldest first, after it is written: a reader sees the same rows throughout."""
+        old = self.versions(run_id)
+        if len(old) < 2:
+            return
+        self._append(run_id, self._live(run_id), False, max(time.time_ns(), old[-1] + 1))
+        for version in old:
+            where, fs = self._folder(f"{self._path(self._run(run_id))}/{VERSION}={version}")
+            fs.delete(where, True)
 
     # -- runs: appended, the latest version of a run counts
 
     def record_run(self, run_id: str, name: str, state: str, started, finished=None,
                    stats: str = "{}", brief: str = "{}") -> None:
-        version = uuid.uuid1().time
-        row = [(run_id, name, state, started, finished, stats, brief, version)]
+        row = [(run_id, name, state, started, finished, stats, brief, time.time_ns())]
         self.spark.createDataFrame(row, RUN).coalesce(1).write.mode("append").parquet(self._path("runs"))
 
+    def _change_run(self, run_id: str, **changed: Column) -> None:
+        """A run's record once more, with some of it changed."""
+        now = self.runs().filter(F.col("run_id") == run_id)
+        if now.isEmpty():
+            raise KeyError(f"no run {run_id!r}")
+        row = now.withColumns({**changed, "version": F.lit(time.time_ns())}).select(*[f.split()[0] for f in RUN.split(", ")])
+        settle(row, "run").write.mode("append").parquet(self._path("runs"))
+
+    def set_state(self, run_id: str, state: str, finished: float | None = None) -> None:
+        """A run's state, and when it ended if it has."""
+        ended = {} if finished is None else {"finished": F.lit(float(finished))}
+        self._change_run(run_id, state=F.lit(state), **ended)
+
+    def update_stats(self, run_id: str, stats: str) -> None:
+        self._change_run(run_id, stats=F.lit(stats))
+
     def runs(self) -> DataFrame:
         rows = self._read("runs")
         if rows is None:
@@ -106,10 +165,8 @@ class Ledger:
         if not names:
             return []
         runs.join(gone.select("run_id"), "run_id", "left_anti").write.mode("overwrite").parquet(self._path("runs"))
-        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
         for name in names:
-            where = fs_path(f"{self._path('verdicts')}/run_id={name}")
-            fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
+            where, fs = self._folder(self._path(self._run(name)))
             fs.delete(where, True)
         return names
 

@@ -1,26 +1,28 @@
 """Landed exports as listings: CSV, JSON lines, JSON arrays, wrapped documents.
 
-The format is told from the first characters, not the file name. JSON stays a
-variant column, so nothing is inferred by a pass over the data and a record
-with odd fields costs only itself.
+Formats, encodings and headers are told from the head of every file
+(``heads``), so a folder may hold several kinds: each is read by its own. JSON
+stays a variant column, so a record with odd fields costs only itself.
 """
 
 from __future__ import annotations
 
-import csv
 import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..model import conform
-from ..reference_data import (CLOSURE_FLAGS, HEADER_ALIASES, NESTED_COORDS, PRODUCER_PROFILES)
+from ..model import LISTING_FIELDS, conform
+from ..reference_data import CLOSURE_FLAGS, HEADER_ALIASES, NESTED_COORDS, PRODUCER_PROFILES, SUPPRESSION_DATE_FIELDS
+from . import documents, heads
 
 SURPLUS = "_extra_columns"
-SURPLUS_SLOTS = 32         # cells beyond the header kept one by one
-WIDEST_CELL = -1           # no limit on a cell's length
+WHOLE = "_whole_row"         # the text of a row with more or fewer cells than the header
+MOST_CELLS = 1_000_000       # of a row; more are an error of the reader
+WIDEST_CELL = -1             # no limit on a cell's length
 
 
 @dataclass
@@ -30,7 +32,10 @@ class Landed:
     df: DataFrame
     headers: list[str]
     variant: str | None = None       # column holding the row, for JSON
-    extra: list[str] = field(default_factory=list)
+    kind: str = "csv"
+    encoding: str = "UTF-8"
+    files: int = 0
+    width: int = 0                   # cells of a CSV header, shadowed ones too
 
     def path(self, *keys: str) -> str:
         return "$" + "".join("[" + json.dumps(k) + "]" for k in keys)
@@ -38,14 +43,14 @@ class Landed:
     def raw(self, header: str) -> Column:
         if self.variant:
             return F.try_variant_get(F.col(self.variant), self.path(header), "variant")
-        return F.col(f"`{header}`")
+        return F.col(_quoted(header))
 
     def cell(self, header: str | None) -> Column:
         """One value as text: a list gives its first scalar, a mapping nothing."""
         if header is None:
             return F.lit(None).cast("string")
         if not self.variant:
-            return X.blank_to_null(F.col(f"`{header}`"))
+            return X.blank_to_null(F.col(_quoted(header)))
         node = self.raw(header)
         shape = F.schema_of_variant(node)
         items = F.filter(
@@ -70,25 +75,21 @@ class Landed:
         if self.variant:
             every = F.try_variant_get(F.col(self.variant), "$", "map<string,string>")
         else:
-            pairs = [x for h in self.headers for x in (F.lit(h), F.col(f"`{h}`").cast("string"))]
-            if self.extra:
-                cells = F.array_compact(F.array(*[F.col(c) for c in self.extra]))
+            pairs = [x for h in self.headers for x in (F.lit(h), F.col(_quoted(h)).cast("string"))]
+            if WHOLE in self.df.columns:
+                cells = F.filter(F.slice(cells_of(F.col(WHOLE)), self.width + 1, MOST_CELLS), lambda c: c != "")
                 pairs += [F.lit(SURPLUS), F.when(F.size(cells) > 0, F.to_json(cells))]
             every = F.create_map(*pairs)
         return F.map_filter(every, lambda _, v: v.isNotNull() & (v != ""))
 
 
-# ---- telling what a file is -------------------------------------------------
-
-def _head(spark: SparkSession, path: str, lines: int = 2) -> list[bytes]:
-    """The first non-blank lines of the first file, as bytes."""
-    rows = spark.read.text(path).select(F.col("value").cast("binary").alias("b"),
-                                        F.col("_metadata.file_path").alias("f")) \
-        .filter(F.length(F.trim(F.col("b").cast("string"))) > 0)
-    first = rows.first()
-    if first is None:
-        return []
-    return [bytes(r.b) for r in rows.filter(F.col("f") == first.f).limit(lines).collect()]
+def cells_of(row: Column) -> Column:
+    """The cells of a CSV row's text, as many as it has: quotes taken off and doubled ones halved."""
+    found = F.regexp_extract_all(F.concat(F.lit(","), F.rtrim(row, F.lit("\r\n"))), F.lit(
+        r'(?s),("[^"]*+(?:""[^"]*+)*+"(?=,|\z)|[^,]*+)'), 1)
+    quoted = lambda c: c.startswith('"') & c.endswith('"') & (F.length(c) > 1)             # noqa: E731
+    return F.transform(found, lambda c: F.when(
+        quoted(c), F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
 
 
 def file_order() -> Column:
@@ -97,92 +98,102 @@ def file_order() -> Column:
     return F.struct(F.input_file_name(), F.input_file_block_start(), F.monotonically_increasing_id())
 
 
-def parsed(value: Column) -> Column:
-    """A whole document as a variant; one that can't be parsed, or is too large to be one value, is an error."""
+def parsed(value: Column, name: Column | None = None) -> Column:
+    """JSON text as a variant; one that can't be parsed, or is too large to be one value, is an error."""
     return F.when(F.trim(value) != "", F.coalesce(F.try_parse_json(value), F.raise_error(F.concat(
-        F.lit("not one JSON document, or larger than a variant may be (land it as JSON lines, or in parts): "),
-        F.input_file_name())).cast("variant")))
-
-
-def encoding_of(head: bytes) -> str:
-    return "UTF-16" if head[:2] in (b"\xff\xfe", b"\xfe\xff") else "UTF-8"
-
-
-def sniff(spark: SparkSession, path: str) -> tuple[str, str]:
-    """(format, encoding): csv, jsonl, array, document or empty."""
-    lines = _head(spark, path)
-    if not lines:
-        return "empty", "UTF-8"
-    encoding = encoding_of(lines[0])
-    first = lines[0].decode("utf-16" if encoding == "UTF-16" else "utf-8-sig", errors="replace").lstrip()
-    if first[:1] == "[":
-        return "array", encoding
-    if first[:1] == "{":
-        try:
-            json.loads(first)
-        except ValueError:
-            return "document", encoding
-        return ("jsonl" if len(lines) > 1 else "document"), encoding
-    return "csv", encoding
+        F.lit("not one JSON value, or larger than a variant may be: "),
+        F.input_file_name() if name is None else name)).cast("variant")))
 
 
 # ---- readers ----------------------------------------------------------------
 
-def read_csv(spark: SparkSession, path: str, encoding: str = "UTF-8", multiline: bool = True) -> Landed:
-    """CSV rows; ragged ones keep what they have.
+def _csv(spark: SparkSession, group: Row, multiline: bool) -> Landed:
+    """CSV rows of files with one header; ragged ones keep what they have.
 
-    A short row is filled with nulls and a long one keeps its surplus cells in
-    ``extras``. Quoted line breaks need ``multiline``, which reads each file in
-    one task: land large exports as many files, or turn it off where cells hold
-    no line breaks so that files split.
+    A short row is filled with nulls; the text of a long one is kept whole, and
+    its surplus cells, however many, go to ``extras``. Quoted line breaks need
+    ``multiline``, which reads each file in one task (UTF-16 always does): land
+    large exports as many files, or turn it off where cells hold no line breaks
+    so that files split.
     """
-    def reader():
-        # A quote is written doubled; a backslash is an ordinary character.
-        return (spark.read.option("encoding", encoding).option("multiLine", multiline)
-                .option("escape", '"').option("maxCharsPerColumn", WIDEST_CELL)
-                .option("ignoreLeadingWhiteSpace", False).option("mode", "PERMISSIVE"))
-
-    first = reader().option("header", False).csv(path).first()
-    if first is None:
-        return Landed(spark.createDataFrame([], "_none string"), [])
-    titles = [(t or "").replace("﻿", "").replace("\x00", "") for t in first]
+    untitled = group.kind == "column"
     # Of columns with one title the last one counts, under the plain title.
+    titles = ["value"] if untitled else list(group.header)
     last = {t: i for i, t in enumerate(titles)}
     slots = [t if last[t] == i and t else f"_shadowed_{i}" for i, t in enumerate(titles)]
-    surplus = [f"_surplus_{i}" for i in range(SURPLUS_SLOTS)]
-    schema = ", ".join(f"`{c}` string" for c in slots + surplus)
-    df = reader().option("header", True).option("enforceSchema", True).schema(schema).csv(path)
-    df = df.select(*[X.without_nul(F.col(f"`{c}`")).alias(c) for c in slots + surplus])
-    return Landed(df, [s for s in slots if not s.startswith("_shadowed_")], None, surplus)
+    # A quote is written doubled; a backslash is an ordinary character.
+    df = (spark.read.option("encoding", group.encoding).option("multiLine", multiline or group.encoding == "UTF-16")
+          .option("escape", '"').option("maxCharsPerColumn", WIDEST_CELL).option("maxColumns", MOST_CELLS)
+          .option("ignoreLeadingWhiteSpace", False).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", WHOLE)
+          .option("header", not untitled).option("enforceSchema", True)
+          .schema(", ".join(f"`{c.replace('`', '``')}` string" for c in [*slots, WHOLE])).csv(_names(group)))
+    df = df.select(*[X.without_nul(F.col(_quoted(c))).alias(c) for c in [*slots, WHOLE]])
+    return Landed(df, [s for s in slots if not s.startswith("_shadowed_")], width=len(slots))
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _names(group: Row) -> list[str]:
+    return [heads.escaped(f.path) for f in group.files]
+
+
+# every field name that a reader of landed rows may ask for
+ASKED = sorted({*heads.KNOWN_TITLES, *(n.lower() for need in PRODUCER_PROFILES.values() for n in need),
+                *(n.lower() for n in SUPPRESSION_DATE_FIELDS)})
 
 
 def _of_variant(df: DataFrame) -> Landed:
-    """Keep objects only; fields are those of the first record in its order, then any others that records have."""
+    """Keep objects only; fields are those of the first record in its order, then any others that records have.
+
+    Of the names only those that mean something here come to the driver: their
+    number is bounded, whatever keys the records use.
+    """
     rows = df.filter(F.col("_row").isNotNull() & F.schema_of_variant("_row").startswith("OBJECT"))
     first = rows.select(F.to_json("_row").alias("j")).first()
-    named = list(json.loads(first.j)) if first else []
-    keys = rows.select(F.explode(F.json_object_keys(F.to_json("_row"))).alias("k")).groupBy("k").agg(F.lit(1)).collect()
+    named = [k for k in (json.loads(first.j) if first else {}) if k.strip().lower() in ASKED]
+    keys = rows.select(F.explode(F.json_object_keys(F.to_json("_row"))).alias("k")).filter(
+        F.lower(F.trim("k")).isin(ASKED)).distinct().collect()
     return Landed(rows, named + sorted({r.k for r in keys} - set(named)), "_row")
 
 
-def read_jsonl(spark: SparkSession, path: str) -> Landed:
+def _lines(spark: SparkSession, group: Row) -> DataFrame:
+    if group.encoding == "UTF-8":
+        return spark.read.text(_names(group))
+    whole = spark.read.format("binaryFile").load(_names(group)).select(F.decode("content", "UTF-16").alias("t"))
+    return whole.select(F.explode(F.split("t", "\r?\n")).alias("value"))
+
+
+def _jsonl(spark: SparkSession, group: Row) -> Landed:
     """One object per line; a line that does not parse costs that line."""
-    lines = spark.read.text(path).select(F.try_parse_json("value").alias("_row"))
-    return _of_variant(lines)
+    return _of_variant(_lines(spark, group).select(F.try_parse_json(F.ltrim("value", F.lit("\ufeff"))).alias("_row")))
+
+
+def _whole(spark: SparkSession, group: Row) -> DataFrame:
+    """Each document as one text: those that cannot be walked in ranges (UTF-16, packed, in a store that Python doesn't reach)."""
+    if group.encoding == "UTF-8":
+        return spark.read.text(_names(group), wholetext=True)
+    return spark.read.format("binaryFile").load(_names(group)).select(F.decode("content", "UTF-16").alias("value"))
+
 
+def _walked(spark: SparkSession, group: Row) -> Landed:
+    """The objects of JSON arrays or wrapped documents, read in byte ranges."""
+    if group.encoding != "UTF-8" or any(f.path.endswith(".gz") for f in group.files) or not heads.in_reach(spark, group.files[0].path):
+        return _array(spark, group) if group.kind == "array" else _document(spark, group)
+    return _of_variant(documents.objects(spark, group.files, group.kind).select(parsed(F.col("value"), F.col("path")).alias("_row")))
 
-def read_array(spark: SparkSession, path: str) -> Landed:
+
+def _array(spark: SparkSession, group: Row) -> Landed:
     """A JSON array of objects per file; other items are skipped."""
-    whole = spark.read.text(path, wholetext=True).select(
-        F.explode(F.try_variant_get(parsed(F.ltrim("value")), "$", "array<variant>")).alias("_row"))
-    return _of_variant(whole)
+    return _of_variant(_whole(spark, group).select(
+        F.explode(F.try_variant_get(parsed(F.ltrim("value")), "$", "array<variant>")).alias("_row")))
 
 
-def read_document(spark: SparkSession, path: str) -> Landed:
+def _document(spark: SparkSession, group: Row) -> Landed:
     """A wrapper: its first field that is a non-empty list of objects holds the
     rows. Without one, the document is the row."""
-    whole = spark.read.text(path, wholetext=True).select(
-        F.col("value").alias("_text"), parsed(F.col("value")).alias("_doc"))
+    whole = _whole(spark, group).select(F.col("value").alias("_text"), parsed(F.col("value")).alias("_doc"))
     # Field order is the text's; a variant keeps its fields sorted.
     keys = F.json_object_keys("_text")
 
@@ -193,17 +204,22 @@ def read_document(spark: SparkSession, path: str) -> Landed:
     holds = lambda k: F.coalesce(F.schema_of_variant(                        # noqa: E731
         F.try_element_at(rows_under(k), F.lit(1))).startswith("OBJECT"), F.lit(False))
     chosen = F.try_element_at(F.filter(keys, holds), F.lit(1))
-    rows = whole.select(F.explode(F.coalesce(rows_under(chosen), F.array("_doc"))).alias("_row"))
-    return _of_variant(rows)
+    return _of_variant(whole.select(F.explode(F.coalesce(rows_under(chosen), F.array("_doc"))).alias("_row")))
+
 
+def read_parts(spark: SparkSession, path, multiline: bool = True) -> list[Landed]:
+    """What is landed at ``path`` (a file, a folder, a pattern), files alike in format, encoding and header together.
 
-def read_rows(spark: SparkSession, path: str, multiline: bool = True) -> Landed:
-    kind, encoding = sniff(spark, path)
-    if kind == "empty":
-        return Landed(spark.createDataFrame([], "_none string"), [])
-    if kind == "csv":
-        return read_csv(spark, path, encoding, multiline)
-    return {"jsonl": read_jsonl, "array": read_array, "document": read_document}[kind](spark, path)
+    Parts stand in the order of their first file names. A file that is neither
+    CSV nor JSON is an error that names it.
+    """
+    parts = []
+    for group in heads.groups(spark, path):
+        part = (_csv(spark, group, multiline) if group.kind in ("csv", "column") else
+                _jsonl(spark, group) if group.kind == "jsonl" else _walked(spark, group))
+        part.kind, part.encoding, part.files = group.kind, group.encoding, len(group.files)
+        parts.append(part)
+    return parts
 
 
 # ---- mapping to listings ----------------------------------------------------
@@ -253,10 +269,9 @@ def closure_status(landed: Landed) -> Column:
     return F.coalesce(*flags) if flags else F.lit(None).cast("string")
 
 
-def to_listings(landed: Landed, mapping=None, limit: int | None = None) -> DataFrame:
+def _fields(landed: Landed, mapping=None) -> DataFrame:
+    """The landed rows as listings without their order; right above the scan."""
     headers = landed.headers
-    if not headers:
-        return conform(landed.df.select(F.lit(None).cast("string").alias("cid")))
     m = build_mapping(headers, mapping)
     cell = lambda k: landed.cell(m.get(k))                                   # noqa: E731
     lat, lng = X.number(cell("lat")), X.number(cell("lng"))
@@ -266,7 +281,7 @@ def to_listings(landed: Landed, mapping=None, limit: int | None = None) -> DataF
         b = landed.nested(h, ["lng", "lon", "longitude"])
         both = (lat.isNull() | lng.isNull()) & a.isNotNull() & b.isNotNull()
         lat, lng = F.when(both, a).otherwise(lat), F.when(both, b).otherwise(lng)
-    out = landed.df.withColumn("ord", F.monotonically_increasing_id()).select(
+    return landed.df.select(
         identity(cell("cid"), cell("maps_url")).alias("cid"),
         X.text(cell("name")).alias("name"),
         *[cell(k).alias(k) for k in ("category", "address", "phone", "website", "booking_url")],
@@ -274,33 +289,55 @@ def to_listings(landed: Landed, mapping=None, limit: int | None = None) -> DataF
         lat.alias("lat"), lng.alias("lng"),
         F.coalesce(closure_status(landed), cell("status_raw")).alias("status_raw"),
         F.lit(f"file:{detect_profile(headers) or 'custom'}").alias("source"),
-        landed.extras().alias("extras"), "ord")
-    out = conform(out)
+        landed.extras().alias("extras"))
+
+
+def to_listings(parts: list[Landed], mapping=None, limit: int | None = None) -> DataFrame:
+    """Listings of all parts, each mapped by its own header; ``ord`` follows the parts and their rows."""
+    if not parts:
+        raise ValueError("no parts")
+    rows = reduce(DataFrame.unionByName, [_fields(p, mapping) for p in parts])
+    out = conform(rows.withColumn("ord", F.monotonically_increasing_id()))
     return out.orderBy("ord").limit(limit) if limit else out
 
 
-def read_listings(spark: SparkSession, path: str, mapping=None, limit: int | None = None,
+def read_listings(spark: SparkSession, path, mapping=None, limit: int | None = None,
                   multiline: bool = True) -> DataFrame:
-    return to_listings(read_rows(spark, path, multiline), mapping, limit)
-
-
-def inspect(spark: SparkSession, path: str) -> DataFrame:
-    """One row describing a file before it is imported."""
-    landed = read_rows(spark, path)
-    m = build_mapping(landed.headers)
-    known = set(m.values()) | {h for h in landed.headers
-                               if h.strip().lower() in CLOSURE_FLAGS or h.strip().lower() in NESTED_COORDS}
-    cid = identity(landed.cell(m.get("cid")), landed.cell(m.get("maps_url")))
-
-    def words(values):
-        values = list(values)
-        return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
-    counted = landed.df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(cid.isNull()).alias("rows_without_identity"))
-    return counted.select(
-        F.lit(path).alias("path"), "rows", "rows_without_identity",
-        F.lit(detect_profile(landed.headers)).cast("string").alias("detected_profile"),
-        words(landed.headers).alias("columns"), F.to_json(F.create_map(
-            *([F.lit(x) for kv in m.items() for x in kv] or [F.lit(""), F.lit("")]))).alias("mapping"),
-        words(h for h in landed.headers if h not in known).alias("unmapped_columns"),
-        F.when(F.col("rows_without_identity") > 0, F.concat(
-            "rows_without_identity", F.lit(" rows have no id or maps link and will be skipped"))).alias("warning"))
+    """Listings of everything landed at ``path``; files without content bring none."""
+    parts = read_parts(spark, path, multiline)
+    if not parts:
+        return conform(spark.createDataFrame([], "cid string")).select(*LISTING_FIELDS)
+    return to_listings(parts, mapping, limit)
+
+
+def _columns(landed: Landed) -> Column:
+    """All field names of a part, as an aggregate."""
+    if not landed.variant:
+        return F.array(*[F.lit(h) for h in landed.headers]).cast("array<string>")
+    keys = F.json_object_keys(F.to_json(landed.variant))
+    return F.array_distinct(F.concat(F.first(keys), F.array_sort(F.array_distinct(F.flatten(F.collect_set(keys))))))
+
+
+def inspect(spark: SparkSession, path) -> DataFrame:
+    """One row describing each part of what is landed, before it is imported."""
+    def described(landed: Landed) -> DataFrame:
+        m = build_mapping(landed.headers)
+        known = set(m.values()) | {h for h in landed.headers
+                                   if h.strip().lower() in CLOSURE_FLAGS or h.strip().lower() in NESTED_COORDS}
+        cid = identity(landed.cell(m.get("cid")), landed.cell(m.get("maps_url")))
+        counted = landed.df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(cid.isNull()).alias("rows_without_identity"),
+                                _columns(landed).alias("columns"))
+        return counted.select(
+            F.lit(str(path)).alias("path"), F.lit(landed.kind).alias("kind"), F.lit(landed.encoding).alias("encoding"),
+            F.lit(landed.files).alias("files"), "rows", "rows_without_identity",
+            F.lit(detect_profile(landed.headers)).cast("string").alias("detected_profile"),
+            "columns", F.to_json(F.create_map(
+                *([F.lit(x) for kv in m.items() for x in kv] or [F.lit(""), F.lit("")]))).alias("mapping"),
+            F.filter("columns", lambda c: ~c.isin(sorted(known)) if known else F.lit(True)).alias("unmapped_columns"),
+            F.when(F.col("rows_without_identity") > 0, F.concat(
+                "rows_without_identity", F.lit(" rows have no id or maps link and will be skipped"))).alias("warning"))
+
+    parts = read_parts(spark, path)
+    if not parts:
+        raise heads.Misfit(f"nothing is landed at {path}")
+    return reduce(DataFrame.unionByName, [described(p) for p in parts])
