@@ -3,12 +3,14 @@
 Host-suffix, brand-prefix and trade-term matching are theta joins by nature.
 The reference lists are small fixed tables, so each becomes a few equality
 tests on keys cut from the row itself: no shuffle, no nested loop.  The
-``*_join`` forms take the list as a DataFrame, for lists of any size.
+``*_join`` forms take the list as a DataFrame, for lists of any size; substrings
+meet on an inverted index of pieces (``containing``).
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,33 +211,56 @@ def trade_rule(standing: Column, cat: Column, title: Column, pack: dict) -> Colu
             .when(standing == BY_NAME, first_of(title, trade_terms(pack))))
 
 
+GRAM = 3                     # letters of a piece that texts and terms meet on
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of ``size`` letters of a text, none of a shorter one."""
+    n = F.char_length(text)
+    return F.when(n >= size, F.array_distinct(F.transform(
+        F.sequence(F.lit(1), n - (size - 1)), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def containing(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``text, term`` of every text that holds a term, from ``texts`` (``text``) and ``terms`` (``term``), each once.
+
+    An inverted index: a term is filed under that piece of it which fewest terms
+    have, texts look their pieces up by equality, and what meets is verified. So
+    terms may be a table of any size, and no text is held against all of them.
+    Case counts; an empty term is held by nothing.
+    """
+    named = terms.select("term").filter("term <> ''").distinct().withColumn("_size", F.least(F.char_length("term"), F.lit(GRAM)))
+    pieces = reduce(lambda x, n: F.when(F.col("_size") == n, _grams(F.col("term"), n)).otherwise(x), range(1, GRAM + 1),
+                    F.array().cast("array<string>"))
+    each = named.select("term", "_size", F.explode(pieces).alias("_piece"))
+    held = each.groupBy("_piece").agg(F.count(F.lit(1)).alias("_n"))
+    filed = each.join(held, "_piece").groupBy("term").agg(F.min(F.struct("_n", "_piece"))["_piece"].alias("_piece"))
+    every = F.array_distinct(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)]))
+    asked = texts.select("text").filter("text <> ''").distinct().select("text", F.explode(every).alias("_piece"))
+    return asked.join(filed, "_piece").filter(F.col("text").contains(F.col("term"))).select("text", "term")
+
+
 def trade_term_join(df: DataFrame, terms: DataFrame) -> DataFrame:
-    """Trade matching with the terms as a table ``(pack_id, kind, term)``.
+    """Trade matching with the terms as a table ``(pack_id, kind, term)`` of any size.
 
-    Substring matching has no equi key, so it runs against the distinct
-    (category, generic name) pairs only, and the answer joins back on equality.
-    ``kind`` is veto, category or keyword.
+    ``kind`` is veto, category or keyword. Distinct categories, and distinct
+    names where the category says nothing, meet the terms by ``containing``;
+    the answers join back on equality.
     """
     keyed = df.withColumn("_cat", F.lower(F.trim(F.coalesce("category", F.lit("")))))
     generic = (F.col("_cat") == "") | F.col("_cat").isin(GENERIC_CATEGORIES)
     keyed = keyed.withColumn("_title", F.when(
         generic, F.lower(F.coalesce("name", F.lit("")))).otherwise(F.lit("")))
-    pairs = keyed.select("_cat", "_title").distinct()
-    hits = (pairs.join(terms, F.when(F.col("kind") == "keyword",
-                                     (F.col("_title") != "") & F.col("_title").contains(F.lower("term")))
-                       .otherwise((F.col("_cat") != "") & F.col("_cat").contains(F.lower("term"))))
-            .groupBy("_cat", "_title", "pack_id")
-            .agg(F.max(F.col("kind") == "veto").alias("_veto"),
-                 F.max(F.col("kind") == "category").alias("_category"),
-                 F.max(F.col("kind") == "keyword").alias("_keyword")))
-    verdicts = hits.groupBy("_cat", "_title").agg(
-        F.max("_veto").alias("trade_vetoed"),
-        F.sort_array(F.collect_set(F.when(
-            ~F.col("_veto") & (F.col("_category") | F.col("_keyword")), F.col("pack_id"))))
-        .alias("trade_hits"))
-    keyed = keyed.withColumn("_pair", F.struct("_cat", "_title"))
-    verdicts = verdicts.select(F.struct("_cat", "_title").alias("_pair"), "trade_vetoed", "trade_hits")
-    return (lookup(keyed, verdicts, "_pair")
-            .withColumn("trade_vetoed", F.coalesce("trade_vetoed", F.lit(False)))
-            .withColumn("trade_hits", F.coalesce("trade_hits", F.array().cast("array<string>")))
-            .drop("_cat", "_title", "_pair"))
+    lowered = terms.select("pack_id", "kind", F.lower("term").alias("term")).distinct()
+
+    def found(column: str, kinds: list[str]) -> DataFrame:
+        own = lowered.filter(F.col("kind").isin(kinds))
+        return containing(keyed.select(F.col(column).alias("text")), own).join(own, "term").groupBy(F.col("text").alias(column)).agg(
+            *[F.collect_set(F.when(F.col("kind") == k, F.col("pack_id"))).alias(f"_{k}") for k in kinds])
+
+    none = F.array().cast("array<string>")
+    out = lookup(lookup(keyed, found("_cat", ["veto", "category"]), "_cat"), found("_title", ["keyword"]), "_title")
+    out = out.withColumns({k: F.coalesce(k, none) for k in ("_veto", "_category", "_keyword")})
+    return (out.withColumn("trade_vetoed", F.size("_veto") > 0)
+            .withColumn("trade_hits", F.array_sort(F.array_except(F.array_union("_category", "_keyword"), F.col("_veto"))))
+            .drop("_cat", "_title", "_veto", "_category", "_keyword"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..reference_data import OSM_GUESS_KEYS, OSM_TRADE_TAGS, PLACES
 from .listings import distinct_first, first_per_key
-from .matching import stem
+from .matching import containing, stem
 
 
 def planned_places(spark, where: dict, packs: dict | None = None) -> DataFrame:
@@ -43,8 +43,10 @@ def priority_rank(place: Column, wanted) -> Column:
 
 def priority_join(places: DataFrame, wanted: DataFrame) -> DataFrame:
     """The same with the wanted list as a table ``(want, rank)``; adds ``rank``."""
-    hits = (places.join(wanted, F.lower("place").contains(F.lower("want")))
-            .groupBy("place").agg(F.min("rank").alias("rank")))
+    texts = places.select("place", F.lower("place").alias("text"))
+    wants = wanted.select(F.lower("want").alias("term"), "rank")
+    hits = (containing(texts, wants).join(wants, "term").groupBy("text").agg(F.min("rank").alias("rank"))
+            .join(texts.distinct(), "text").select("place", "rank"))
     return places.join(hits, "place", "left")
 
 
