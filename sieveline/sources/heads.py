@@ -90,7 +90,7 @@ def _shape(text: str, whole: bool) -> tuple[str, list[str] | None] | None:
         try:
             json.loads(first)
         except ValueError:
-            return "document", None
+            return ("jsonl" if _torn(first.rstrip(), rest.lstrip("\r\n").partition("\n")[0].rstrip()) else "document"), None
         if rest.strip():
             return "jsonl", None
         return ("document", None) if whole else None
@@ -107,6 +107,17 @@ def _shape(text: str, whole: bool) -> tuple[str, list[str] | None] | None:
     return "csv", header
 
 
+def _torn(first: str, second: str) -> bool:
+    """Whether a first line that isn't JSON is a torn record before others, rather than the beginning of a document."""
+    if not second.startswith("{") or first.endswith("["):
+        return False
+    try:
+        json.loads(second)
+        return True
+    except ValueError:
+        return not first.endswith(("{", ",", ":"))
+
+
 def _listed(spark: SparkSession, path) -> DataFrame:
     """``path, length`` of every landed file; contents are not read."""
     return spark.read.format("binaryFile").load(path).select("path", "length")

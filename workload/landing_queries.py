@@ -84,14 +84,15 @@ def s7(spark, sf):
     of = lambda i, *columns: rows.filter(F.col("kind") == i).select(*columns)               # noqa: E731
     of(0, "category", "title", "cid").write.option("header", True).csv(path + "/b=0")
     wide = [F.lit(f"more {i}").alias(f"x{i}") for i in range(40)]
-    # a header line of its own file, then rows wider than it
-    lines = of(1, F.concat_ws(",", "cid", "category", "title", *wide).alias("value")).repartition(1)
-    spark.createDataFrame([("cid,category,title",)], "value string").union(lines).coalesce(1).write.text(path + "/b=1")
+    # rows wider than the header above them: whole lines in one column of that name
+    lines = of(1, F.concat_ws(",", "cid", "category", "title", *wide).alias("cid,category,title")).repartition(3, "cid,category,title")
+    lines.write.option("header", True).option("sep", "\x01").option("quote", "\0").csv(path + "/b=1")
     of(2, "title", "category", "cid").write.option("header", True).option("encoding", "UTF-16").csv(path + "/b=2")
     of(3, "cid", "title").write.json(path + "/b=3")
-    of(4, F.to_json(F.struct("title", "cid")).alias("j")).groupBy(F.abs(F.hash("j")) % 3).agg(
-        F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value")).select("value").write.text(path + "/b=4")
-    out = landed.read_listings(spark, path + "/b=*")
+    arrays = of(4, F.to_json(F.struct("title", "cid")).alias("j")).groupBy((F.abs(F.hash("j")) % 16).alias("g")).agg(
+        F.concat(F.lit("[\n"), F.array_join(F.collect_list("j"), ",\n"), F.lit("]")).alias("value"))
+    arrays.repartition(16, "g").write.partitionBy("g").text(path + "/b=4")
+    out = landed.read_listings(spark, [f"{path}/b={i}" for i in range(4)] + [path + "/b=4/g=*"])
     extra = F.from_json(F.try_element_at("extras", F.lit(landed.SURPLUS)), "array<string>")
     return out.select("cid", "name", "category", F.nullif(F.size(extra), F.lit(-1)).alias("surplus"))
 
