@@ -255,17 +255,20 @@ def compile_lexicon(docs: DataFrame, spec: dict, size: int = LEXICON) -> bytes:
     """The transducer of the corpus's most frequent words, ``size`` at most.
 
     A histogram of counts, in steps of a few per cent, says from which count on
-    words fit; only those come to the driver.
+    words fit; of the step that would be too many, an even share (so ``size`` is
+    kept up to chance). Only the chosen words come to the driver.
     """
     counted = settle(word_counts(docs, spec["special"]), "word-counts").filter(F.octet_length("word") <= LONG)
     step = F.floor(F.log2("n") * 16)
-    seen, least = 0, None
+    room, top = size, F.lit(False)
     for row in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
-        seen += row.words
-        if seen > size:
+        # of the step that doesn't fit whole, a share by the words' hash
+        share = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(min(1.0, room / row.words) * (1 << 20))
+        top = top | ((step == row.step) & share)
+        room -= row.words
+        if room <= 0:
             break
-        least = row.step
-    top = counted.filter(F.lit(False) if least is None else step >= least)
+    top = counted.filter(top)
     words = [r.word.encode() for r in top.select("word").collect() if r.word not in spec["special"]]
     at, ids = Merger(spec)(words)
     return compile_words({w: ids[a:b].tolist() for w, a, b in zip(words, at.tolist(), at[1:].tolist())})

@@ -14,6 +14,8 @@ calibrated probabilities.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +33,8 @@ REACH = 2                    # words on each side that count as around
 TRAIN_ROWS = 20_000          # labelled rows the network is fitted on, at most
 HIDDEN, EPOCHS, BATCH, RATE = 32, 25, 128, 2e-3
 THRESHOLD = 0.7
+LONG = 1 << 20               # bytes of a text whose tokens are held at once
+BLANKS = re.compile(rb"[ \t\x0b\x0c\r]")
 
 # a byte's class: blank, word (letters, digits, multi-byte), mark, line break
 KIND = np.full(256, 2, np.int8)
@@ -81,6 +85,31 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.searchsorted(ends, start, "right"), word, shape
 
 
+def pieces(text: bytes) -> list[bytes]:
+    """A long text in pieces of some ``LONG`` bytes, cut at blanks; a token of twice that is several tokens."""
+    at, out = 0, []
+    while len(text) - at > 2 * LONG:
+        m = BLANKS.search(text, at + LONG, at + 2 * LONG)
+        to = m.start() if m else at + 2 * LONG
+        out.append(text[at:to])
+        at = to
+    return [*out, text[at:]]
+
+
+def streams(texts: list[bytes]):
+    """(text of each token, word and shape rows, how many leading tokens are repeated): all short texts at once, then each
+    piece of the long ones, with the last ``REACH`` tokens of the piece before it."""
+    yield (*tokens([b"" if len(t) > LONG else t for t in texts]), 0)
+    for i, text in enumerate(texts):
+        if len(text) > LONG:
+            last = np.zeros((2, 0), np.int64)
+            for part in pieces(text):
+                _, *rows = tokens([part])
+                both = np.concatenate([last, rows], 1)
+                yield np.full(both.shape[1], i), *both, last.shape[1]
+                last = both[:, max(0, both.shape[1] - REACH):]
+
+
 def count_vectors(docs: DataFrame) -> DataFrame:
     """``row, n`` and ``DIM`` sums over every text of ``docs``: the vectors before scaling."""
     plus, minus = index_vectors()
@@ -89,15 +118,16 @@ def count_vectors(docs: DataFrame) -> DataFrame:
     def run(batches):
         sums, seen = np.zeros(ROWS * DIM, np.int64), np.zeros(ROWS, np.int64)
         for batch in text_batches(batches, 2 << 20):
-            owner, *streams = tokens(utf8(batch.column("text")))
-            for rows in streams:
-                seen += np.bincount(rows, minlength=ROWS)
-                for d in range(1, REACH + 1):
-                    near = owner[d:] == owner[:-d]
-                    a, b = rows[:-d][near], rows[d:][near]
-                    for x, y in ((a, b), (b, a)):
-                        sums += np.bincount(x * DIM + plus[y], minlength=ROWS * DIM)
-                        sums -= np.bincount(x * DIM + minus[y], minlength=ROWS * DIM)
+            for owner, *kinds, again in streams(utf8(batch.column("text"))):
+                for rows in kinds:
+                    seen += np.bincount(rows[again:], minlength=ROWS)
+                    for d in range(1, REACH + 1):
+                        near = owner[d:] == owner[:-d]
+                        near[:max(0, again - d)] = False                   # counted with the piece before
+                        a, b = rows[:-d][near], rows[d:][near]
+                        for x, y in ((a, b), (b, a)):
+                            sums += np.bincount(x * DIM + plus[y], minlength=ROWS * DIM)
+                            sums -= np.bincount(x * DIM + minus[y], minlength=ROWS * DIM)
         used = np.flatnonzero(seen)
         for a in range(0, len(used), 4096):
             part = used[a:a + 4096]
@@ -128,6 +158,12 @@ FEATURES = 2 * DIM + 6
 
 def pool(texts: list[bytes], vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
     """A row of features for each text; all zero where it has no token."""
+    long = [i for i, t in enumerate(texts) if len(t) > LONG]
+    if long:
+        out = pool([b"" if len(t) > LONG else t for t in texts], vectors, weight)
+        for i in long:
+            out[i] = pool_long(texts[i], vectors, weight)
+        return out
     out = np.zeros((len(texts), FEATURES), np.float32)
     owner, word, shape = tokens(texts)
     if not len(owner):
@@ -152,6 +188,28 @@ def pool(texts: list[bytes], vectors: np.ndarray, weight: np.ndarray) -> np.ndar
     return out
 
 
+def pool_long(text: bytes, vectors: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The same features of one long text, a piece at a time."""
+    sums, weights = np.zeros((2, DIM)), np.zeros(2)
+    times, n, again, last = np.zeros(BUCKETS, np.int64), 0, 0, -1
+    for part in pieces(text):
+        _, word, shape = tokens([part])
+        for k, rows in enumerate((word, shape)):
+            w = weight[rows] if k == 0 else np.ones(len(rows), np.float32)
+            sums[k] += w @ vectors[rows]
+            weights[k] += w.sum()
+        times += np.bincount(word, minlength=BUCKETS)
+        n += len(word)
+        again += int((np.concatenate([[last], word[:-1]]) == word).sum()) if len(word) else 0
+        last = int(word[-1]) if len(word) else last
+    out = np.zeros(FEATURES)
+    if n:
+        kinds = int((times > 0).sum())
+        out[:2 * DIM] = (sums / weights[:, None]).ravel()
+        out[2 * DIM:] = [np.log1p(n), kinds / n, times.max() / n, again / n, kinds / np.sqrt(n), np.linalg.norm(out[:DIM])]
+    return out.astype(np.float32)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
@@ -207,7 +265,10 @@ class Network:
 
 
 def train(docs: DataFrame, labels: DataFrame, held, model) -> Network:
-    """A network fitted on at most ``TRAIN_ROWS`` labelled rows, by the order of their ids' hash, none of them ``held``."""
+    """A network fitted on at most ``TRAIN_ROWS`` labelled ids, by the order of their hash, none of them ``held``.
+
+    Of several rows with one id the text with the smallest hash is learned from.
+    """
     spark = docs.sparkSession
     known = (labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held)
              .groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -221,8 +282,9 @@ def train(docs: DataFrame, labels: DataFrame, held, model) -> Network:
                 "x": [row.tobytes() for row in pool(utf8(batch.column("text")), *model.value)]}
 
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
-    rows = map_texts(own, ["doc_id", "text", "label"], "doc_id long, label int, x binary", step)
-    got = sorted(rows.limit(2 * TRAIN_ROWS).collect(), key=lambda r: (r.doc_id, bytes(r.x)))
+    once = own.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))      # TRAIN_ROWS rows at most
+    rows = map_texts(once, ["doc_id", "text", "label"], "doc_id long, label int, x binary", step)
+    got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(len(got), FEATURES).astype(float)
     return Network().fit(x, np.array([r.label for r in got], float))
 

@@ -34,20 +34,46 @@ PENALTY = 3.0                # log-likelihood a further language must gain, time
 MAX_LANGUAGES = 2_000        # the model is languages x BUCKETS; more labels than this is an error, not a cut
 LETTER = regex.compile(r"\p{L}")
 UNKNOWN = "und"
+LONG = 1 << 20               # characters of a text whose n-grams are held at once
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct n-grams of each text: key ``text index << BITS | bucket`` ascending, and how often each stands.
 
     Case is ignored; everything but letters becomes one blank on which words
-    begin and end.
+    begin and end. Texts of over ``LONG`` characters are counted a stretch at a time.
     """
-    flat = " " + "  ".join(texts).lower() + " "
-    code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    long = [i for i, t in enumerate(texts) if len(t) > LONG]
+    if not long:
+        return _grams(texts)
+    made = [_grams(["" if len(t) > LONG else t for t in texts]), *(_long_grams(texts[i], i) for i in long)]
+    key, n = (np.concatenate(c) for c in zip(*made))
+    order = np.argsort(key, kind="stable")
+    return key[order], n[order]
+
+
+def _long_grams(text: str, index: int) -> tuple[np.ndarray, np.ndarray]:
+    flat, total, reach = " " + text.lower() + " ", np.zeros(BUCKETS, np.int64), max(SIZES) - 1
+    for a in range(0, len(flat), LONG):
+        part = flat[a:a + LONG + reach]                        # n-grams that start in the stretch, whole
+        code = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+        key, n = _count(code, _letters(code), np.zeros(len(code), np.int64), LONG)
+        total[key] += n
+    seen = np.flatnonzero(total)
+    return index << BITS | seen, total[seen]
+
+
+def _letters(code: np.ndarray) -> np.ndarray:
     known = np.zeros(int(code.max()) + 1, bool)
     used = np.unique(code)
     known[used[[bool(LETTER.match(chr(c))) for c in used.tolist()]]] = True
-    letter = known[code]
+    return known[code]
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    flat = " " + "  ".join(texts).lower() + " "
+    code = np.frombuffer(flat.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter = _letters(code)
     # lower-casing may lengthen a text, so places come from the lowered ones
     sizes = np.fromiter((len(t.lower()) + 2 for t in texts), np.int64, len(texts))
     owner = np.repeat(np.arange(len(texts)), sizes)
@@ -64,7 +90,8 @@ def grams_of(flat: str, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return _count(code, letter, owner)
 
 
-def _count(code: np.ndarray, letter: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _count(code: np.ndarray, letter: np.ndarray, owner: np.ndarray, upto: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys and counts of the n-grams that start before ``upto``."""
     symbol = np.where(letter, code, 32).astype(np.uint64)
     keys, mixed = [], np.zeros(len(symbol), np.uint64)
     for size in range(1, max(SIZES) + 1):
@@ -79,6 +106,8 @@ def _count(code: np.ndarray, letter: np.ndarray, owner: np.ndarray) -> tuple[np.
             if size > 2:                                       # blanks only at the ends
                 for k in range(1, size - 1):
                     whole &= letter[k:n + k]
+            if upto is not None:
+                whole[upto:] = False
             keys.append(owner[:n][whole] << BITS | bucket[whole].astype(np.int64))
     flat = np.sort(np.concatenate(keys))
     if not len(flat):

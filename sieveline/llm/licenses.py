@@ -77,11 +77,12 @@ def scan(docs: DataFrame, with_spans: bool = True) -> DataFrame:
         flat = b" " + b" ".join(words) + b" "
         places, base = [], set()
         for phrase, label in phrases:
-            at = flat.find(phrase)
+            at, last, word = flat.find(phrase), 0, 0
             while at >= 0:
-                places.append(flat.count(b" ", 0, at))
+                word += flat.count(b" ", last, at)             # blanks since the place before: all places in one walk
+                places.append(word)
                 base.add(label)
-                at = flat.find(phrase, at + 1)
+                last, at = at, flat.find(phrase, at + 1)
         found = box[0].detect(raw.translate(LOWER_BYTES).decode())
         doubt = (1 - BASE_CONFIDENCE) ** len(base)
         for _, sure in sorted({f[2:] for f in found}):

@@ -55,3 +55,11 @@ def test_transducer_is_minimal_and_exact():
     for w, r in zip(words, rank.tolist()):
         assert t.ids[t.offset[r]:t.offset[r + 1]].tolist() == words[w]
     assert len(t.final) < sum(map(len, words))
+
+
+def test_a_lexicon_of_words_that_are_all_as_frequent(spark, documents):
+    """Where one step of counts holds more words than the lexicon takes, a share of them is taken."""
+    docs = documents(" ".join(f"word{i}" for i in range(4000)))
+    spec = bpe.load(PATH)
+    n = len(Transducer(bpe.compile_lexicon(docs, spec, 1000)).offset) - 1
+    assert 800 < n < 1200

@@ -58,3 +58,26 @@ def test_temperature_is_fitted_apart():
     y = (x[:, 0] + rng.normal(size=600) > 0).astype(float)
     net = C.Network().fit(x, y)
     assert net.temperature > 1 and abs(net.score(x).mean() - y.mean()) < 0.1
+
+
+def test_long_texts_pool_the_same(spark, documents, monkeypatch):
+    import random
+
+    import numpy as np
+    r = random.Random(2)
+    texts = ["".join(r.choice(["alpha ", "Beta", "\n", "12 ", "!! ", "漢 ", "beta beta "]) for _ in range(n)) for n in (0, 5, 300, 900, 40)]
+    docs = documents(*texts)
+    want = sorted(map(tuple, C.count_vectors(docs).collect()))
+    vectors, weight = C.word_vectors(docs)
+    pooled = C.pool([t.encode() for t in texts], vectors, weight)
+    monkeypatch.setattr(C, "LONG", 100)
+    assert all(len(C.pieces(t.encode())) > 1 for t in texts if len(t) > 400)
+    assert sorted(map(tuple, C.count_vectors(docs).collect())) == want
+    assert np.allclose(C.pool([t.encode() for t in texts], vectors, weight), pooled, rtol=1e-4, atol=1e-5)
+
+
+def test_one_text_of_a_repeated_id_is_learned_from(spark, documents):
+    docs = documents(*[(i % 3, f"text {i} of words") for i in range(30)])
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
+    first, again = (sorted(map(tuple, C.classify(d, labels).collect())) for d in (docs, docs.repartition(5)))
+    assert first == again

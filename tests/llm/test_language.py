@@ -52,3 +52,13 @@ def test_em_matches_one_document_at_a_time():
             s = (part / part.sum(0) * n[a:b]).sum(1) / n[a:b].sum()
         assert np.allclose(share[:, d], s, atol=1e-4)
         assert np.isclose(value[d], (np.log((like[:, a:b] * s[:, None]).sum(0)) * n[a:b]).sum(), rtol=1e-4)
+
+
+def test_long_texts_count_the_same(monkeypatch):
+    import random
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcÉÜß漢 .,\u03a3\u0130\n") for _ in range(n)) for n in (0, 40, 500, 3, 2000, 150)] + ["x" * 700]
+    want = [x.tolist() for x in L.grams(texts)]
+    for size in (7, 64, 300):
+        monkeypatch.setattr(L, "LONG", size)
+        assert [x.tolist() for x in L.grams(texts)] == want

@@ -57,3 +57,9 @@ def test_rules_are_many_and_each_is_gated_soundly():
     for r in RULES:                                            # the keyword stands in the pattern, plainly spelt
         plain = r.pattern.replace("\\", "").replace("(?:", "").replace(" ?", " ")
         assert r.keyword in plain, r
+
+
+def test_very_many_places(documents):
+    """Places are numbered in one walk over the text."""
+    [row] = licenses.scan(documents("cc by x " * 200_000), with_spans=False).collect()
+    assert (row.n_base, row.first_word, row.last_word) == (200_000, 0, 599_997)

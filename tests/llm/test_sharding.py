@@ -32,3 +32,18 @@ def test_placement_does_not_depend_on_blocks_or_partitions(spark, documents):
     assert one == sorted(map(tuple, S.interleave(docs.repartition(13)).collect()), key=str)
     assert S.interleave(documents().limit(0)).collect() == []
     assert [(r.shard, r.slot, r.size) for r in S.interleave(documents((1, None))).collect()] == [(0, 0, 8)]
+
+
+def test_rows_without_ids_and_sources_of_one_row(spark, documents):
+    """A third of the rows without an id, equal rows among them, and many sources with a row each: even shards, no crowded block."""
+    rows = [(None if i % 3 == 0 else i, f"text {i if i % 2 else 0}", None, "hot" if i % 2 else f"s{i}") for i in range(6000)]
+    rows += [(None, "the same", None, "hot")] * 2000
+    got = S.interleave(documents(*rows), shards=8, block=200).collect()
+    assert len(got) == len(rows)
+    sizes = Counter(r.shard for r in got)
+    assert max(sizes.values()) - min(sizes.values()) <= 1
+    for s in range(8):
+        slots = sorted(r.slot for r in got if r.shard == s)
+        assert slots == list(range(sizes[s]))
+    hot = Counter(r.shard for r in got if r.text_crc32 == next(x.text_crc32 for x in got if x.size == 16))
+    assert max(hot.values()) - min(hot.values()) <= 40
