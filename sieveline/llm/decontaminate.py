@@ -321,7 +321,9 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without the benchmark's passages; rows, and texts without hits, stay as they are.
 
     A removed passage leaves a line break, and the text is searched again until
-    nothing is found, since what stood on its sides may now read on.
+    nothing is found, since what stood on its sides may now read on. Null and
+    empty texts stay, as all do where the benchmark is empty; repeated rows are
+    each cleaned.
     """
     parts = blocks(benchmark)
 

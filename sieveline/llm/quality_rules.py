@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import map_texts, read
 from .common import texts as text_batches
@@ -106,9 +107,9 @@ def ledger(docs: DataFrame) -> DataFrame:
     return made.withColumn("failed", F.expr(bits))
 
 
-def passes(version: int = CURRENT):
+def passes(version: int = CURRENT, failed: str = "failed"):
     """True where no rule of that version of the policy failed."""
-    return F.col("failed").bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0
+    return F.col(failed).bitwiseAND(F.lit(POLICIES[version]).cast("long")) == 0
 
 
 def ablation(entries: DataFrame, version: int = CURRENT) -> DataFrame:
@@ -130,25 +131,30 @@ def ablation(entries: DataFrame, version: int = CURRENT) -> DataFrame:
         F.bit_or("bits").alias("seen_with"))
 
 
-def keep(docs: DataFrame, version: int = CURRENT) -> DataFrame:
-    """The documents whose texts pass the policy, all columns as they were.
-
-    Texts are measured where they lie: nothing is joined or shuffled.
-    """
-    names, schema = docs.columns, docs.schema
-    bits = POLICIES[version]
-    tests = [(BIT[n], compile(rule.replace("AND", "and").replace("OR", "or"), n, "eval"))
-             for n, rule in RULES if BIT[n] & bits]
+def marked(docs: DataFrame) -> DataFrame:
+    """``docs`` as they are with ``_failed``, the ledger's bits of each row, measured where the text lies."""
+    own = docs.schema
+    schema = T.StructType([*own.fields, *(T.StructField(f"_m_{m}", T.LongType()) for m in MEASURES)])
 
     def run(batches):
         for batch in text_batches(batches):
-            kept = []
-            for text in batch.column("text").to_pylist():
-                got = dict(zip(MEASURES, measure(text)))
-                kept.append(not any(eval(code, {}, got) for _, code in tests))             # noqa: S307
-            yield batch.filter(pa.array(kept))
+            rows = [measure(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array([r[i] for r in rows], pa.int64()) for i in range(len(MEASURES)))],
+                                             names=schema.names)
 
-    return docs.select(*names).mapInArrow(run, schema)
+    bits = " | ".join(f"IF({rule}, {BIT[name]}L, 0L)" for name, rule in RULES)
+    bits = re.sub(rf"\b({'|'.join(MEASURES)})\b", r"_m_\1", bits)
+    return docs.mapInArrow(run, schema).select(*own.names, F.expr(bits).alias("_failed"))
+
+
+def keep(docs: DataFrame, version: int = CURRENT) -> DataFrame:
+    """The documents that no rule of the policy fails, all columns as they were.
+
+    The policy reads the ledger's bits, which are measured beside the text:
+    nothing is joined or shuffled. Null, empty and blank texts have too few
+    words and go; repeated rows are each judged; an empty table stays one.
+    """
+    return marked(docs).filter(passes(version, "_failed")).select(*docs.columns)
 
 
 def digest(docs: DataFrame) -> DataFrame:
@@ -183,3 +189,17 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 @query("op2_quality_rules", SQL)
 def op2(spark, sf):
     return digest(read(spark, sf, "documents"))
+
+
+ABLATION_SQL = f"""WITH {_MEASURED},
+  bits AS (SELECT CAST({_BITS} AS BIGINT) & {POLICIES[CURRENT]} AS bits FROM measured),
+  rules AS (SELECT unnest([{", ".join(f"'{n}'" for n, _ in RULES if BIT[n] & POLICIES[CURRENT])}]) AS rule,
+    unnest([{", ".join(str(BIT[n]) for n, _ in RULES if BIT[n] & POLICIES[CURRENT])}]) AS bit)
+SELECT rule, count(*) FILTER (bits & bit <> 0) AS n_failed, count(*) FILTER (bits = bit) AS n_only, bit_or(bits) AS seen_with
+FROM bits, rules GROUP BY rule"""
+
+
+@query("quality_ablation", ABLATION_SQL)
+def quality_ablation(spark, sf):
+    """What each rule of the current policy fails, and fails alone, from the ledger of operator 2."""
+    return ablation(ledger(read(spark, sf, "documents")))

@@ -226,7 +226,11 @@ def apply_edits(trees: DataFrame, path: str) -> DataFrame:
 
 
 def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
-    """Trees with the edits of a table ``doc_id, seq, start, end, text``, in order of ``seq``."""
+    """Trees with the edits of a table ``doc_id, seq, start, end, text``, in order of ``seq``.
+
+    Edits without an id, or of an id without a tree, change nothing; a tree
+    without edits stays as it is; rows that share an id each get its edits.
+    """
     each = F.struct("seq", "start", "end", "text")
     lists = edits.groupBy("doc_id").agg(F.sort_array(F.collect_list(each)).alias("e")).select(
         "doc_id", F.transform("e", lambda x: F.struct(x["start"], x["end"], x["text"])).cast(EDIT).alias("edits"))

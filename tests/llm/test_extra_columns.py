@@ -4,8 +4,9 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from sieveline.llm import (bpe, classifier, decontaminate, language, licenses, quality_rules, repeats, sharding, simhash,
-                           token_counts)
+from sieveline.llm import (bpe, classifier, decontaminate, filter_audit, language, licenses, near_copies, quality_rules,
+                           repeats, sharding, simhash, token_alignment, token_counts)
+from sieveline.llm.common import DOCUMENT_COLUMNS
 
 from .conftest import ODD
 
@@ -31,7 +32,10 @@ OPERATORS = {
     "licenses": lambda d, b, q: licenses.scan(d), "sharding": lambda d, b, q: sharding.interleave(d, shards=3),
     "repeats": lambda d, b, q: repeats.measure(d), "remove": lambda d, b, q: repeats.remove(d),
     "simhash": lambda d, b, q: simhash.near_duplicates(d), "keep_one": lambda d, b, q: simhash.keep_one(d),
-    "language": lambda d, b, q: language.identify(d)}
+    "language": lambda d, b, q: language.identify(d), "keep": lambda d, b, q: quality_rules.keep(d).select(*DOCUMENT_COLUMNS),
+    "near_copies": lambda d, b, q: near_copies.near_copies(d),
+    "keep_one_near": lambda d, b, q: simhash.keep_one(d, near_copies.near_copies),
+    "align": lambda d, b, q: token_alignment.align(d), "audit": lambda d, b, q: filter_audit.audit(filter_audit.failures(d))}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
