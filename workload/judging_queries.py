@@ -260,6 +260,12 @@ def o3_name(spark, sf):
     return shaping.page(verdicts(spark, sf), "name", 50).select("cid", "name")
 
 
+@query("o3_deep_page", O.dentists("""SELECT cid, name FROM verdicts ORDER BY lower(coalesce(name, '')), cid LIMIT 40 OFFSET 600"""))
+def o3_deep(spark, sf):
+    """A page far into the order, from the ranges it lies in."""
+    return shaping.Pages(settle(verdicts(spark, sf)), "name", 300).page(40, 600).select("cid", "name")
+
+
 @query("w1_first_seen", f"""WITH {I.OFFERED_CTE} SELECT lower(cid) AS cid, arg_min(name, ord) AS name, arg_min(source, ord) AS source
    FROM offered GROUP BY 1""")
 def w1(spark, sf):
