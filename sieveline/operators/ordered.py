@@ -108,25 +108,49 @@ def within_budget(candidates: DataFrame, cost: Column, budget: int, order: str =
 
 
 def apply_limits(verdicts: DataFrame, max_results: int | None = None, rate: float = 0.4,
-                 window: int = 20, min_sample: int = 10) -> DataFrame:
+                 window: int = 20, min_sample: int = 10, max_requests: int | None = None) -> DataFrame:
     """Adds ``fate`` to marked verdicts: shown, hidden or unreached.
 
     The breaker counts every judged row, hidden ones included, and stops the
     run after the row that trips it. The cap stops it after the first shown row
-    by which enough have qualified.
+    by which enough have qualified, the budget after the row that spends the
+    last of ``max_requests`` (by the column ``requests``).
     """
+    trace, stops = _stops(verdicts, max_results, rate, window, min_sample, max_requests)
+    reached = F.lit(True)
+    for stop in stops.values():
+        at = stop.scalar()
+        reached = reached & (at.isNull() | (F.col("ord") <= at))
+    out = trace.withColumn("fate", F.when(~reached, F.lit("unreached"))
+                           .when(F.col("hidden"), F.lit("hidden")).otherwise(F.lit("shown")))
+    return out.drop("_good", "_spent", "rn", "fail_rate", "over")
+
+
+STOPS = {"breaker": "too many measurements failed", "results": "result cap reached", "requests": "request budget reached"}
+
+
+def stop_reason(verdicts: DataFrame, max_results: int | None = None, rate: float = 0.4,
+                window: int = 20, min_sample: int = 10, max_requests: int | None = None) -> DataFrame:
+    """One row: ``stopped_at`` (``ord``) and ``stopped_reason`` of the limit that is met first; nulls where none is."""
+    _, stops = _stops(verdicts, max_results, rate, window, min_sample, max_requests)
+    row = verdicts.sparkSession.range(1).select(*[s.scalar().alias(k) for k, s in stops.items()])
+    first = F.least(*[F.col(k) for k in stops], F.lit(None).cast("long"))
+    reason = F.coalesce(*[F.when(F.col(k) == F.col("stopped_at"), F.lit(STOPS[k])) for k in stops])
+    return row.withColumn("stopped_at", first).select("stopped_at", reason.alias("stopped_reason"))
+
+
+def _stops(verdicts: DataFrame, max_results, rate, window, min_sample, max_requests) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The verdicts with what the limits count, and for each limit that is set one row: the ``ord`` it is met at."""
     from .rules import failed_signals
 
     trace = breaker_trace(verdicts, F.size(failed_signals(verdicts)) > 0, "ord", rate, window, min_sample)
-    stop = trip_point(trace).scalar()
-    reached = stop.isNull() | (F.col("ord") <= stop)
+    stops = {"breaker": trip_point(trace)}
+    sums = {"_good": (F.col("outcome") == "qualified").cast("int")} if max_results else {}
+    sums |= {"_spent": F.col("requests")} if max_requests else {}
+    if sums:
+        trace = running_total(trace, "ord", sums)
     if max_results:
-        good = (F.col("outcome") == "qualified").cast("int")
-        trace = running_total(trace, "ord", {"_good": good})
-        last = trace.filter(~F.col("hidden") & (F.col("_good") >= max_results)) \
-            .agg(F.min("ord").alias("last")).scalar()
-        reached = reached & (last.isNull() | (F.col("ord") <= last))
-        # the running count has done its work
-    out = trace.withColumn("fate", F.when(~reached, F.lit("unreached"))
-                           .when(F.col("hidden"), F.lit("hidden")).otherwise(F.lit("shown")))
-    return out.drop("_good", "rn", "fail_rate", "over")
+        stops["results"] = trace.filter(~F.col("hidden") & (F.col("_good") >= max_results)).agg(F.min("ord").alias("at"))
+    if max_requests:
+        stops["requests"] = trace.filter(F.col("_spent") >= max_requests).agg(F.min("ord").alias("at"))
+    return trace, stops

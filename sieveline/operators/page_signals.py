@@ -15,6 +15,7 @@ from ..functions import html as H
 from ..functions import urls
 from ..functions.text import first_of, text
 from ..model import CHEAP, EXPENSIVE, first_case, measurement
+from ..session import settle
 from .matching import lookup
 from .registry import Context, signal
 
@@ -78,16 +79,70 @@ def site_facts(pages: DataFrame, this_year: Column | None = None, now: Column |
     return latest_fresh(page_facts(pages, this_year), now, days)
 
 
+MAP_BITS = 1 << 27           # of a reducer: 16 MB at most, whatever it stands for
+
+
+def _slot(key: Column) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(MAP_BITS)) + 1
+
+
+def reducer(keys: DataFrame, key: Column) -> DataFrame:
+    """A bitmap of hashed keys: at most 4,096 rows ``(_bucket, _bits)`` of 4 KB each, however many keys there are."""
+    slots = keys.filter(key.isNotNull()).select(_slot(key).alias("_slot"))
+    return (slots.groupBy(F.bitmap_bucket_number("_slot").alias("_bucket"))
+            .agg(F.bitmap_construct_agg(F.bitmap_bit_position("_slot")).alias("_bits")))
+
+
+def among(rows: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
+    """Rows whose key may be one of a reducer's: none of its keys is missed, a few others pass.
+
+    The reducer is broadcast, which its size allows by how it is built; rows stay where they were scanned.
+    """
+    at = F.bitmap_bit_position(_slot(key))
+    octet = F.conv(F.hex(F.substring("_bits", (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.getbit(octet, (at % 8).cast("int")) == 1
+    return (rows.withColumn("_bucket", F.bitmap_bucket_number(_slot(key)))
+            .join(F.broadcast(bits), "_bucket").filter(held).drop("_bucket", "_bits"))
+
+
+def facts_of(pages: DataFrame, addresses: DataFrame, this_year: Column | None = None, now: Column | None = None,
+             days: int | None = FRESH_DAYS) -> DataFrame:
+    """``site_facts`` for the addresses that are asked about (``address``, normalised), and maybe a few more.
+
+    HTML is read last. The answers' narrow columns alone tell the latest fresh
+    one of each address; then only those pages are opened. Both steps go through
+    reducers, so pages are neither shuffled nor joined by a table that grows.
+    """
+    return latest_fresh(page_facts(chosen_pages(pages, addresses, now, days), this_year), now, days)
+
+
+def chosen_pages(pages: DataFrame, addresses: DataFrame, now: Column | None = None,
+                 days: int | None = FRESH_DAYS) -> DataFrame:
+    """The pages ``facts_of`` opens."""
+    final = F.coalesce(F.nullif(F.col("final_url"), F.lit("")), F.col("url"))
+    heads = pages.select("url", "error", "fetched_at", final.alias("final_url"))
+    asked = among(heads, urls.normalise(F.col("url")), reducer(addresses, F.col("address")))
+    newest = latest_fresh(asked, now, days)
+
+    def answer(url: Column, final_url: Column) -> Column:
+        return F.xxhash64(url, F.col("error").isNull(), F.col("fetched_at"), final_url)
+    wanted = reducer(newest, answer(F.col("url"), F.col("final_url")))
+    return among(pages, answer(urls.normalise(F.col("url")), final), wanted)
+
+
 def _packed(facts: DataFrame, name: str) -> DataFrame:
     fields = [c for c in facts.columns if c != "url"]
     return facts.select(F.col("url").alias(f"_{name}_url"), F.struct(*fields).alias(name))
 
 
-def with_pages(listings: DataFrame, facts: DataFrame, contact_hop: bool = True) -> DataFrame:
-    """``listings`` with ``_page`` and, where the home page shows no address
-    and links a contact page of its own, ``_contact``."""
-    target = target_url()
-    out = lookup(listings.withColumn("_page_url", F.nullif(urls.normalise(target), F.lit(""))),
+def page_address() -> Column:
+    """The address of a listing's page as pages are keyed; null where it has none."""
+    return F.nullif(urls.normalise(target_url()), F.lit(""))
+
+
+def _with_home(listings: DataFrame, facts: DataFrame, contact_hop: bool) -> DataFrame:
+    """Adds ``_page``, and ``_contact_url`` where a contact page is to be asked as well."""
+    out = lookup(listings.withColumn("_page_url", page_address()),
                  _packed(facts, "_page").withColumnRenamed("__page_url", "_page_url"), "_page_url")
     if not contact_hop:
         return out.withColumns({"_contact": F.lit(None).cast(out.schema["_page"].dataType),
@@ -96,9 +151,33 @@ def with_pages(listings: DataFrame, facts: DataFrame, contact_hop: bool = True)
     link, home = page["contact_url"], page["final_url"]
     hop = page["ok"] & (F.size(page["emails"]) == 0) & link.isNotNull() & (
         F.rtrim(link, F.lit("/")) != F.rtrim(home, F.lit("/")))
-    out = out.withColumn("_contact_url", F.when(hop, F.nullif(urls.normalise(link), F.lit(""))))
-    return lookup(out, _packed(facts, "_contact").withColumnRenamed("__contact_url", "_contact_url"),
-                  "_contact_url")
+    return out.withColumn("_contact_url", F.when(hop, F.nullif(urls.normalise(link), F.lit(""))))
+
+
+def _with_contact(out: DataFrame, facts: DataFrame) -> DataFrame:
+    return lookup(out, _packed(facts, "_contact").withColumnRenamed("__contact_url", "_contact_url"), "_contact_url")
+
+
+def with_pages(listings: DataFrame, facts: DataFrame, contact_hop: bool = True) -> DataFrame:
+    """``listings`` with ``_page`` and, where the home page shows no address
+    and links a contact page of its own, ``_contact``."""
+    out = _with_home(listings, facts, contact_hop)
+    return _with_contact(out, facts) if contact_hop else out
+
+
+def with_pages_of(listings: DataFrame, pages: DataFrame, contact_hop: bool = True, this_year: Column | None = None,
+                  now: Column | None = None, days: int | None = FRESH_DAYS) -> DataFrame:
+    """``with_pages`` straight from landed pages: only the pages of these listings are opened.
+
+    Reads ``listings`` twice. With a contact hop the first lookup is settled,
+    since it is asked which contact pages there are before they are opened.
+    """
+    home = facts_of(pages, listings.select(page_address().alias("address")), this_year, now, days)
+    out = _with_home(listings, home, contact_hop)
+    if not contact_hop:
+        return out
+    out = settle(out, "home-pages")
+    return _with_contact(out, facts_of(pages, out.select(F.col("_contact_url").alias("address")), this_year, now, days))
 
 
 def with_mail_check(df: DataFrame, mail_domains: DataFrame | None) -> DataFrame:

@@ -7,6 +7,7 @@ left standing, and a row settles at the first tier that fails it.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -69,16 +70,16 @@ def measure_paid(df: DataFrame, brief: Brief, inputs: Inputs, tier: str) -> Data
     ctx = brief.context()
     base = [c for c in df.columns]
     if tier == CHEAP:
-        facts = None
-        if inputs.site_pages is not None:
-            facts = page_signals.site_facts(inputs.site_pages, ctx.this_year, inputs.now, inputs.fresh_days)
-            if "site_contact" in names:                        # read twice: for home pages and for contact pages
-                facts = settle(facts, "site-facts")
-        df = _attach_pages(df, facts, "site_contact" in names)
-        df = page_signals.with_mail_check(
-            df, inputs.mail_domains if "site_contact" in names else None)
+        hop = "site_contact" in names
+        if inputs.site_pages is None:
+            df = _without_pages(df)
+        else:
+            df = page_signals.with_pages_of(df, inputs.site_pages, hop, ctx.this_year, inputs.now, inputs.fresh_days)
+        df = page_signals.with_mail_check(df, inputs.mail_domains if hop else None)
+        asked = F.coalesce(F.col("_page")["requests"], F.lit(0)) + F.coalesce(F.col("_contact")["requests"], F.lit(0))
     else:
         df = page_signals.with_place_pages(df, inputs.place_pages)
+        asked = F.col("_place").isNotNull().cast("int")
     df = registry.add_signals(df, names, ctx)
     df = _reuse(df, inputs.stored, names)
     if "_old" in df.columns:
@@ -93,6 +94,11 @@ def measure_paid(df: DataFrame, brief: Brief, inputs: Inputs, tier: str) -> Data
                 fresh = F.coalesce(old, fresh)
             fields.append(fresh.alias(f.name))
         df = df.withColumn("signals", F.struct(*fields))
+        # what is stored for all of a tier's signals is asked of nobody
+        known = [F.col("_old")[n].isNotNull() if n in held else F.lit(False) for n in names]
+        asked = F.when(reduce(lambda a, b: a & b, known), F.lit(0)).otherwise(asked)
+    if "requests" in base:
+        df = df.withColumn("requests", F.col("requests") + asked.cast("long"))
     return df.select(*base)
 
 
@@ -103,9 +109,7 @@ EMPTY_FACTS = ("url string, fetched_at timestamp, final_url string, status int,
                "viewport boolean, years array<int>")
 
 
-def _attach_pages(df: DataFrame, facts: DataFrame | None, hop: bool) -> DataFrame:
-    if facts is not None:
-        return page_signals.with_pages(df, facts, hop)
+def _without_pages(df: DataFrame) -> DataFrame:
     shape = df.sparkSession.createDataFrame([], EMPTY_FACTS).drop("url").schema.simpleString()
     none = F.lit(None).cast(shape)
     return df.withColumns({"_page": none, "_contact": none, "_contact_url": F.lit(None).cast("string")})
@@ -131,17 +135,19 @@ def withheld(spark, brief: Brief, inputs: Inputs) -> DataFrame | None:
 
 
 def honoured(brief: Brief) -> None:
-    """Refuses limits that only a fetching run could keep, rather than ignore them."""
-    asked = [k for k in ("max_requests", "max_runtime", "max_runtime_seconds") if brief.limits.get(k) is not None]
+    """Refuses limits that a batch can't keep, rather than ignore them."""
+    asked = [k for k in ("max_runtime", "max_runtime_seconds") if brief.limits.get(k) is not None]
     if asked:
-        raise ValueError(f"a batch over landed data fetches nothing and cannot keep limits.{', limits.'.join(asked)}; "
-                         "see operators.ordered.within_budget and streaming.qualify")
+        raise ValueError(f"a batch has no clock to keep limits.{', limits.'.join(asked)} by; see streaming.qualify.run_for")
 
 
 def judge(listings: DataFrame, brief: Brief, inputs: Inputs | None = None, *, dedupe: bool = True,
-          tally: bool = True, tally_table: DataFrame | None = None, materialise: bool = True) -> DataFrame:
+          tally: bool = True, tally_table: DataFrame | None = None, materialise: bool = True,
+          cost: bool = False) -> DataFrame:
     """Verdicts of ``listings``: listing columns, ``signals``, outcome, score.
 
+    ``cost`` adds ``requests``: the lookups charged for a row's paid signals.
+
     ``materialise`` writes the free tier once to the shared folder when paid
     tiers follow, so settled and surviving rows are not both derived from the
     source.
@@ -155,7 +161,9 @@ def judge(listings: DataFrame, brief: Brief, inputs: Inputs | None = None, *, de
         df = memory.without_suppressed(df, hidden, brief.suppress.get("after"), inputs.now)
     df = measure_free(df, brief, tally, tally_table)
     measured = set(brief.signals_for(FREE))
-    df = rules.evaluate(df, brief.filters, measured).select(*LISTING_FIELDS, *VERDICT_TAIL)
+    kept = [*LISTING_FIELDS, *VERDICT_TAIL, *(["requests"] if cost else [])]
+    df = df.withColumn("requests", F.lit(0).cast("long")) if cost else df
+    df = rules.evaluate(df, brief.filters, measured).select(*kept)
     paid = [t for t in (CHEAP, EXPENSIVE) if brief.signals_for(t)]
     if paid and materialise:
         df = settle(df, "free-tier")
@@ -165,7 +173,7 @@ def judge(listings: DataFrame, brief: Brief, inputs: Inputs | None = None, *, de
         alive = df.filter(F.col("outcome") == QUALIFIED).drop("outcome", "rejected_by", "reject_reason")
         alive = measure_paid(alive, brief, inputs, tier)
         measured |= set(brief.signals_for(tier))
-        df = rules.evaluate(alive, brief.filters, measured).select(*LISTING_FIELDS, *VERDICT_TAIL)
+        df = rules.evaluate(alive, brief.filters, measured).select(*kept)
     shape = df.schema["signals"].dataType
     for part in settled:
         df = df.unionByName(_widened(part, shape))
@@ -201,13 +209,21 @@ def requalify(stored: DataFrame, brief: Brief, inputs: Inputs | None = None) ->
 def run(listings: DataFrame, brief: Brief, inputs: Inputs | None = None, **kw) -> DataFrame:
     """``judge`` with what a run withholds or cuts short marked in ``fate``:
     ``shown``, ``hidden`` (unchanged since before) or ``unreached`` (past the
-    breaker or the result cap). Nothing is dropped uncounted."""
+    breaker, the result cap or the request budget). Nothing is dropped uncounted."""
+    return ordered.apply_limits(marked(listings, brief, inputs, **kw), **limits(brief))
+
+
+def marked(listings: DataFrame, brief: Brief, inputs: Inputs | None = None, **kw) -> DataFrame:
+    """The verdicts a run's limits are applied to, settled."""
     honoured(brief)
     inputs = inputs or Inputs()
-    df = judge(listings, brief, inputs, **kw)
+    df = judge(listings, brief, inputs, cost=bool(brief.limits.get("max_requests")), **kw)
     # Verdicts are written anyway; what depends on their order reads the file.
-    df = settle(memory.mark_unchanged(df, inputs.prior_verdicts), "judged")
-    return ordered.apply_limits(df, brief.limits.get("max_results"), **brief.breaker)
+    return settle(memory.mark_unchanged(df, inputs.prior_verdicts), "judged")
+
+
+def limits(brief: Brief) -> dict:
+    return {"max_results": brief.limits.get("max_results"), "max_requests": brief.limits.get("max_requests"), **brief.breaker}
 
 
 def estimate(listings: DataFrame | None, brief: Brief, places: int = 0) -> DataFrame:
