@@ -116,6 +116,16 @@ def apply_limits(verdicts: DataFrame, max_results: int | None = None, rate: floa
     by which enough have qualified, the budget after the row that spends the
     last of ``max_requests`` (by the column ``requests``).
     """
+    return limited(verdicts, max_results, rate, window, min_sample, max_requests)[0]
+
+
+STOPS = {"breaker": "too many measurements failed", "results": "result cap reached", "requests": "request budget reached"}
+
+
+def limited(verdicts: DataFrame, max_results: int | None = None, rate: float = 0.4, window: int = 20,
+            min_sample: int = 10, max_requests: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``apply_limits``, and one row: ``stopped_at`` (``ord``) and ``stopped_reason`` of the limit that is met first,
+    nulls where none is."""
     trace, stops = _stops(verdicts, max_results, rate, window, min_sample, max_requests)
     reached = F.lit(True)
     for stop in stops.values():
@@ -123,20 +133,11 @@ def apply_limits(verdicts: DataFrame, max_results: int | None = None, rate: floa
         reached = reached & (at.isNull() | (F.col("ord") <= at))
     out = trace.withColumn("fate", F.when(~reached, F.lit("unreached"))
                            .when(F.col("hidden"), F.lit("hidden")).otherwise(F.lit("shown")))
-    return out.drop("_good", "_spent", "rn", "fail_rate", "over")
-
-
-STOPS = {"breaker": "too many measurements failed", "results": "result cap reached", "requests": "request budget reached"}
-
-
-def stop_reason(verdicts: DataFrame, max_results: int | None = None, rate: float = 0.4,
-                window: int = 20, min_sample: int = 10, max_requests: int | None = None) -> DataFrame:
-    """One row: ``stopped_at`` (``ord``) and ``stopped_reason`` of the limit that is met first; nulls where none is."""
-    _, stops = _stops(verdicts, max_results, rate, window, min_sample, max_requests)
     row = verdicts.sparkSession.range(1).select(*[s.scalar().alias(k) for k, s in stops.items()])
     first = F.least(*[F.col(k) for k in stops], F.lit(None).cast("long"))
     reason = F.coalesce(*[F.when(F.col(k) == F.col("stopped_at"), F.lit(STOPS[k])) for k in stops])
-    return row.withColumn("stopped_at", first).select("stopped_at", reason.alias("stopped_reason"))
+    return (out.drop("_good", "_spent", "rn", "fail_rate", "over"),
+            row.withColumn("stopped_at", first).select("stopped_at", reason.alias("stopped_reason")))
 
 
 def _stops(verdicts: DataFrame, max_results, rate, window, min_sample, max_requests) -> tuple[DataFrame, dict[str, DataFrame]]:

@@ -65,17 +65,70 @@ def terminal_status(stats: DataFrame, report: DataFrame | None = None,
 
 
 def fold_report(report: DataFrame) -> DataFrame:
-    """Per source: places that failed, places that were empty, notes, and the
-    reason it stopped itself (distinct, sorted)."""
+    """Per source: how many places failed, how many were empty, how many notes, and why it stopped itself.
+
+    ``report_lines`` names them.
+    """
     def distinct(kind: str, col: str) -> Column:
-        return F.sort_array(F.collect_set(F.when(F.col("status") == kind, F.col(col))))
+        return F.count_distinct(F.when(F.col("status") == kind, F.col(col)))
     return report.groupBy("source").agg(
-        F.count_distinct(F.when(F.col("status") == "failed", F.col("place"))).alias("failed_places"),
-        F.count_distinct(F.when(F.col("status") == "empty", F.col("place"))).alias("empty_places"),
-        F.count_distinct(F.when(F.col("status") == "note", F.col("why"))).alias("notes"),
+        distinct("failed", "place").alias("failed_places"), distinct("empty", "place").alias("empty_places"),
+        distinct("note", "why").alias("notes"),
         F.min(F.when(F.col("status") == "fatal", F.col("why"))).alias("fatal"))
 
 
+def report_lines(report: DataFrame) -> DataFrame:
+    """What sources told, line by line: ``(kind, what, why)``.
+
+    A place that failed or was empty is named ``source/place`` and has its
+    greatest reason; a note is ``source: note``, once; a source that stopped
+    itself has its reasons joined.
+    """
+    status, source = F.col("status"), F.col("source")
+    kind = F.when(status == "failed", F.lit("skipped")).when(status.isin("empty", "note"), status).when(
+        status == "fatal", F.lit("error"))
+    named = F.when(status == "note", F.concat_ws(": ", source, F.col("why"))).when(status == "fatal", source).otherwise(
+        F.concat_ws("/", source, F.col("place")))
+    lines = report.select(kind.alias("kind"), named.alias("what"), F.when(status != "note", F.col("why")).alias("why"))
+    once = lines.filter("kind IS NOT NULL").distinct()
+    joined = F.array_join(F.sort_array(F.collect_list(F.when(F.col("kind") == "error", F.col("why")))), "; ")
+    return once.groupBy("kind", "what").agg(
+        F.when(F.col("kind") == "error", joined).otherwise(F.max("why")).alias("why"))
+
+
+def full_stats(verdicts: DataFrame, discovered: DataFrame, report: DataFrame, stop: DataFrame,
+               withheld: DataFrame | None = None, resumed: DataFrame | None = None,
+               elapsed_seconds: float | None = None) -> DataFrame:
+    """One row that tells a whole run: ``run_stats`` over the rows it reached, and what it left out and why.
+
+    ``verdicts`` carry ``fate``. Maps hold an entry for each rule that rejected
+    and each source that failed; places are counted here and named by ``report_lines``.
+    """
+    fate = F.col("fate")
+    reached = verdicts.filter(fate != "unreached")
+    row = run_stats(reached, discovered, elapsed_seconds)
+    soft = reached.agg(F.count_if(fate == "hidden").alias("n")).scalar()
+    spent = F.sum("requests") if "requests" in verdicts.columns else F.lit(0)
+    reasons = rejections(reached).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("rejected_by", "n")))).alias("m"))
+    folded = fold_report(report)
+    errors = folded.filter("fatal IS NOT NULL").agg(
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct("source", "fatal")))).alias("m"))
+    count = lambda df: F.lit(0).cast("long") if df is None else df.agg(F.count(F.lit(1)).alias("n")).scalar()     # noqa: E731
+    decided = None if resumed is None else resumed.filter(F.col("outcome") != UNEVALUATED).select("cid").distinct()
+    out = row.withColumns({
+        "unreached": verdicts.agg(F.count_if(fate == "unreached").alias("n")).scalar(),
+        "suppressed_hard": count(withheld), "suppressed_soft": soft, "resumed": count(decided),
+        "requests": reached.agg(F.coalesce(spent, F.lit(0)).cast("long").alias("n")).scalar(),
+        "rejected_by": reasons.scalar(), "source_errors": errors.scalar(),
+        "skipped_places": folded.agg(F.coalesce(F.sum("failed_places"), F.lit(0).cast("long")).alias("n")).scalar(),
+        "empty_places": folded.agg(F.coalesce(F.sum("empty_places"), F.lit(0).cast("long")).alias("n")).scalar(),
+        "notes": folded.agg(F.coalesce(F.sum("notes"), F.lit(0).cast("long")).alias("n")).scalar(),
+        "stopped_reason": stop.select("stopped_reason").scalar(),
+        "elapsed": F.round(F.lit(elapsed_seconds).cast("double"), 2)})
+    out = out.withColumn("suppressed", F.col("suppressed_hard") + F.col("suppressed_soft"))
+    return terminal_status(out, report, F.col("stopped_reason"))
+
+
 def new_rows_per_unit(fetched: DataFrame) -> DataFrame:
     """Per unit of work: rows fetched and rows no earlier unit brought.
 

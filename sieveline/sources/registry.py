@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..model import REVIEW, SITE_PAGE
 from ..operators.listings import latest, union_sources
 from ..reference_data import SOURCE_CAPS
+from ..session import settle
 from . import landed, mapsearch, osm
 
 Reader = Callable[[SparkSession, dict], DataFrame]
@@ -55,22 +56,42 @@ def _mapsearch(spark, options):
     return mapsearch.to_listings(spark.read.parquet(options["path"]), options.get("fields"))
 
 
-def read_all(spark: SparkSession, specs) -> tuple[DataFrame, DataFrame]:
+REPORT = "source string, place string, status string, why string"
+
+
+def read_all(spark: SparkSession, specs, places: DataFrame | None = None, land: bool = False) -> tuple[DataFrame, DataFrame]:
     """Every enabled source's listings, and a report of those that failed.
 
-    A source that cannot be read brings nothing and stops no other.
+    A source that cannot be read brings nothing and stops no other. With
+    ``land`` each is written once to the shared folder, so that this holds for
+    failures while its rows are read as well, a torn file among good ones.
+    ``places`` (``place``) are what sources that search by place bring rows of;
+    a place without any is reported ``empty``.
     """
-    frames, report = [], []
-    for spec in specs:
+    frames, report, searched = [], [], []
+    for i, spec in enumerate(specs):
         sid = spec.get("id") if isinstance(spec, dict) else spec
         if isinstance(spec, dict) and spec.get("enabled") is False:
             continue
         try:
-            frames.append(read(spark, sid, (spec.get("options") if isinstance(spec, dict) else {}) or {}))
+            rows = read(spark, sid, (spec.get("options") if isinstance(spec, dict) else {}) or {})
+            by_place = places is not None and SOURCE_CAPS.get(sid, {}).get("takes") == "places"
+            if by_place:
+                wanted = places.select(F.lower("place").alias("_place")).distinct()
+                rows = rows.join(wanted, F.lower("place_label") == F.col("_place"), "left_semi")
+            if land:
+                rows = settle(rows, f"source-{i}")
+            frames.append(rows)
             report.append((sid, None, "ok", None))
+            if by_place:
+                searched.append((sid, rows))
         except Exception as exc:                               # noqa: BLE001
             report.append((sid, None, "fatal", f"{type(exc).__name__}: {exc}"))
-    told = spark.createDataFrame(report, "source string, place string, status string, why string")
+    told = spark.createDataFrame(report, REPORT)
+    for sid, rows in searched:
+        seen = rows.select(F.lower("place_label").alias("_place")).distinct()
+        told = told.unionByName(places.join(seen, F.lower("place") == F.col("_place"), "left_anti").select(
+            F.lit(sid).alias("source"), "place", F.lit("empty").alias("status"), F.lit("read, and held nothing").alias("why")))
     if not frames:
         from ..model import LISTING
         return spark.createDataFrame([], LISTING), told
