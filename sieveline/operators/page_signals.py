@@ -29,19 +29,27 @@ def target_url() -> Column:
     return F.when(site != "", site).otherwise(text(F.col("booking_url")))
 
 
-def latest_fresh(pages: DataFrame, now: Column | None = None, days: int | None = FRESH_DAYS) -> DataFrame:
+TIED = ["ord", "status", "requests"]         # answers alike in address, age and outcome: these decide, those there are
+
+
+def latest_fresh(pages: DataFrame, now: Column | None = None, days: int | None = FRESH_DAYS,
+                 key: Column | None = None, newest_by: Column | None = None) -> DataFrame:
     """The latest answer of each URL, of those young enough.
 
     Only answers that succeeded outlive their fetch; a failed one is kept only
-    while nothing better exists for its URL.
+    while nothing better exists for its URL. Of answers alike in all that, the
+    one that landed first (``ord``) is kept. ``key`` is the address itself where
+    it is not to be normalised, ``newest_by`` (largest first) what is latest
+    where that is not the time of the fetch.
     """
     now = F.current_timestamp() if now is None else now
-    key = urls.normalise(F.col("url"))
+    key = urls.normalise(F.col("url")) if key is None else key
     out = pages.withColumn("url", key).filter(F.col("url") != "")
     if days is not None:
         out = out.filter(F.col("fetched_at") > now - F.make_dt_interval(F.lit(days)))
-    newest = W.partitionBy("url").orderBy(F.col("error").isNotNull(), F.col("fetched_at").desc_nulls_last(),
-                                          F.col("final_url"))
+    latest = [F.col("error").isNotNull(), F.col("fetched_at").desc_nulls_last()] if newest_by is None else [newest_by.desc_nulls_last()]
+    newest = W.partitionBy("url").orderBy(*latest, F.col("final_url"), *[
+        F.col(c).asc_nulls_last() for c in TIED if c in out.columns])
     # A limit of one per key is applied before the shuffle as well as after.
     return out.withColumn("_rn", F.row_number().over(newest)).filter("_rn = 1").drop("_rn")
 
@@ -60,7 +68,7 @@ def page_facts(pages: DataFrame, this_year: Column | None = None) -> DataFrame:
     links = H.hrefs(html)
     ok = F.col("error").isNull() & (F.col("status") >= 200) & (F.col("status") < 300)
     return pages.select(
-        "url", "fetched_at", final.alias("final_url"), "status", "error",
+        "url", "fetched_at", *(["ord"] if "ord" in pages.columns else []), final.alias("final_url"), "status", "error",
         F.coalesce("redirected", F.lit(False)).alias("redirected"),
         F.coalesce("requests", F.lit(1)).alias("requests"),
         ok.alias("ok"),

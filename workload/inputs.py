@@ -150,7 +150,7 @@ def site_pages(spark: SparkSession, sf: str) -> DataFrame:
         F.when(kind == 1, F.lit("timed out")).when(
             F.col("page_id") % 50 == 21, F.lit("certificate verify failed")).alias("error"),
         F.lit(False).alias("redirected"), F.timestamp_seconds(F.lit(1767225600)).alias("fetched_at"),
-        F.when(F.col("page_id") % 4 == 0, 0).otherwise(1).alias("requests"))
+        F.when(F.col("page_id") % 4 == 0, 0).otherwise(1).alias("requests"), F.col("page_id").alias("ord"))
 
 
 # the same, as columns over pages
