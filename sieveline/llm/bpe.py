@@ -251,25 +251,28 @@ def word_counts(docs: DataFrame, special: dict[str, int]) -> DataFrame:
     return docs.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def compile_lexicon(docs: DataFrame, spec: dict, size: int = LEXICON) -> bytes:
-    """The transducer of the corpus's most frequent words, ``size`` at most.
+def frequent(counted: DataFrame, size: int) -> DataFrame:
+    """The most frequent words of ``counted``, ``size`` at most.
 
-    A histogram of counts, in steps of a few per cent, says from which count on
-    words fit; of the step that would be too many, an even share (so ``size`` is
-    kept up to chance). Only the chosen words come to the driver.
+    A histogram of counts, in steps of a few per cent, says from which step on
+    words fit; of the step that would be too many, an even share by the words'
+    hash (so ``size`` is kept up to chance).
     """
-    counted = settle(word_counts(docs, spec["special"]), "word-counts").filter(F.octet_length("word") <= LONG)
     step = F.floor(F.log2("n") * 16)
-    room, top = size, F.lit(False)
+    room, top = size, F.lit(True)
     for row in counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect():
-        # of the step that doesn't fit whole, a share by the words' hash
-        share = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(min(1.0, room / row.words) * (1 << 20))
-        top = top | ((step == row.step) & share)
-        room -= row.words
-        if room <= 0:
+        if row.words >= room:                                  # all higher steps fit whole
+            share = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < int(room / row.words * (1 << 20))
+            top = (step > row.step) | ((step == row.step) & share)
             break
-    top = counted.filter(top)
-    words = [r.word.encode() for r in top.select("word").collect() if r.word not in spec["special"]]
+        room -= row.words
+    return counted.filter(top)
+
+
+def compile_lexicon(docs: DataFrame, spec: dict, size: int = LEXICON) -> bytes:
+    """The transducer of the corpus's most frequent words, ``size`` at most. Only these come to the driver."""
+    counted = settle(word_counts(docs, spec["special"]), "word-counts").filter(F.octet_length("word") <= LONG)
+    words = [r.word.encode() for r in frequent(counted, size).select("word").collect() if r.word not in spec["special"]]
     at, ids = Merger(spec)(words)
     return compile_words({w: ids[a:b].tolist() for w, a, b in zip(words, at.tolist(), at[1:].tolist())})
 

@@ -63,3 +63,15 @@ def test_a_lexicon_of_words_that_are_all_as_frequent(spark, documents):
     spec = bpe.load(PATH)
     n = len(Transducer(bpe.compile_lexicon(docs, spec, 1000)).offset) - 1
     assert 800 < n < 1200
+
+
+def test_frequent_words_are_chosen_by_one_comparison(spark):
+    """op4_bpe: the condition does not grow with the number of steps of the histogram."""
+    counts = {f"w{i}": int(1.05 ** i) + 1 for i in range(300)} | {f"v{i}": 1 for i in range(2000)}
+    counted = spark.createDataFrame(list(counts.items()), "word string, n long")
+    got = bpe.frequent(counted, 250)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("xxhash64") <= 1
+    words = {r.word for r in got.collect()}
+    assert {f"w{i}" for i in range(60, 300)} <= words and len(words) <= 260
+    assert len(bpe.frequent(counted, 10_000).collect()) == 2300 and 300 <= len(bpe.frequent(counted, 1300).collect()) < 1500
