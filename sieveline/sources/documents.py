@@ -28,25 +28,29 @@ RANGE = 8 << 20              # bytes of a range
 TASKS = 10_000               # tasks that walk ranges, at most
 
 # bytes that JSON is built of
-OPEN, CLOSE = b"[{", b"]}"
+OPEN, CLOSE = (np.isin(np.arange(256), list(kind)) for kind in (b"[{", b"]}"))        # by byte
 BLANK = b" \t\r\n"
+ROWS = 1000                  # rows handed on together
 
 
 def unescaped_quotes(data: np.ndarray, before: bytes) -> np.ndarray:
     """Places of the quotes in ``data`` that no backslash escapes; ``before`` is what stands in front of it."""
     run = len(before) - len(before.rstrip(b"\\"))
-    data = np.concatenate([np.full(run, 92, np.uint8), data])
     quotes = np.flatnonzero(data == 34)
-    other = np.flatnonzero(data != 92)
-    at = np.searchsorted(other, quotes) - 1                    # the last byte before a quote that is no backslash
-    slashes = quotes - 1 - np.where(at >= 0, other[np.maximum(at, 0)], -1)
-    return quotes[slashes % 2 == 0] - run
+    slash = np.concatenate([np.arange(-run, 0), np.flatnonzero(data == 92)])
+    if not len(slash):
+        return quotes
+    first = np.concatenate([[True], np.diff(slash) > 1])       # of backslashes in a row
+    since = slash[np.maximum.accumulate(np.where(first, np.arange(len(slash)), 0))]
+    at = np.maximum(np.searchsorted(slash, quotes) - 1, 0)     # the last backslash before a quote
+    slashes = np.where(slash[at] == quotes - 1, quotes - since[at], 0)
+    return quotes[slashes % 2 == 0]
 
 
 def structure(data: np.ndarray, before: bytes, inside: bool) -> tuple[np.ndarray, np.ndarray, bool]:
     """Places and changes of depth of the brackets outside strings, and whether the end is in a string."""
     quotes = unescaped_quotes(data, before)
-    opens, closes = np.isin(data, list(OPEN)), np.isin(data, list(CLOSE))
+    opens, closes = OPEN[data], CLOSE[data]
     at = np.flatnonzero(opens | closes)
     outside = (np.searchsorted(quotes, at) + inside) % 2 == 0
     at = at[outside]
@@ -179,9 +183,11 @@ def _objects(batches):
                             break
                         on, deep, open_ = on + len(more), int(levels[-1]) if len(levels) else deep, ends
                     out.append((b, b"".join(parts)))
-            for b, text in out:
-                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([at + b], pa.int64()),
-                                                  pa.array([text.decode("utf-8", "replace")])], names=["path", "place", "value"])
+            for i in range(0, len(out), ROWS):
+                part = out[i:i + ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([path] * len(part)), pa.array([at + b for b, _ in part], pa.int64()),
+                     pa.array([text.decode("utf-8", "replace") for _, text in part])], names=["path", "place", "value"])
 
 
 def objects(spark: SparkSession, files, kind: str, size: int = RANGE) -> DataFrame:
