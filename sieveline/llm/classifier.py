@@ -34,6 +34,7 @@ TRAIN_ROWS = 20_000          # labelled rows the network is fitted on, at most
 HIDDEN, EPOCHS, BATCH, RATE = 32, 25, 128, 2e-3
 THRESHOLD = 0.7
 LONG = 1 << 20               # bytes of a text whose tokens are held at once
+POOLED = 1 << 20             # bytes of texts pooled at once, about: some 100 bytes are held for each
 BLANKS = re.compile(rb"[ \t\x0b\x0c\r]")
 
 # a byte's class: blank, word (letters, digits, multi-byte), mark, line break
@@ -283,7 +284,7 @@ def train(docs: DataFrame, labels: DataFrame, held, model) -> Network:
 
     own = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id"))
     once = own.groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))      # TRAIN_ROWS rows at most
-    rows = map_texts(once, ["doc_id", "text", "label"], "doc_id long, label int, x binary", step)
+    rows = map_texts(once, ["doc_id", "text", "label"], "doc_id long, label int, x binary", step, POOLED)
     got = sorted(rows.collect(), key=lambda r: (r.doc_id, bytes(r.x)))
     x = np.frombuffer(b"".join(bytes(r.x) for r in got), np.float32).reshape(len(got), FEATURES).astype(float)
     return Network().fit(x, np.array([r.label for r in got], float))
@@ -306,7 +307,7 @@ def classify(docs: DataFrame, labels: DataFrame, held=None) -> DataFrame:
         a = 0
         while a < len(raw):                                    # about a megabyte of text is pooled at once
             b, size = a + 1, len(raw[a])
-            while b < len(raw) and size + len(raw[b]) <= 1 << 20:
+            while b < len(raw) and size + len(raw[b]) <= POOLED:
                 size += len(raw[b])
                 b += 1
             scores.append(Network(**network.value).score(pool(raw[a:b], *model.value)))

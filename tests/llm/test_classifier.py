@@ -81,3 +81,18 @@ def test_one_text_of_a_repeated_id_is_learned_from(spark, documents):
     labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1)], "doc_id long, quality int")
     first, again = (sorted(map(tuple, C.classify(d, labels).collect())) for d in (docs, docs.repartition(5)))
     assert first == again
+
+
+def test_training_rows_are_pooled_a_megabyte_at_a_time(spark, documents, monkeypatch):
+    """op3_classifier: what a task holds while it pools labelled texts does not follow the batches Spark hands it."""
+    seen = []
+    whole = C.map_texts
+
+    def watched(docs, columns, schema, step, limit=8 << 20):
+        seen.append(limit)
+        return whole(docs, columns, schema, step, limit)
+    monkeypatch.setattr(C, "map_texts", watched)
+    docs = documents(*[(i, "good words " * 5 if i % 2 else "#### $$$ 1 2 3") for i in range(40)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    assert C.classify(docs, labels).count() == 40
+    assert seen[0] <= 1 << 20
