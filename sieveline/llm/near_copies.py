@@ -1,14 +1,17 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies: SimHash partitions and MinHash bands, decided by the exact Jaccard similarity of word shingles.
 
 Two texts are linked when their sets of ``SHINGLE``-word shingles have a
-Jaccard similarity of ``SIMILARITY`` or more. At 0.8 some 10 of a SimHash's 64
-bits differ, up to 17 in one pair of a hundred, and no parts of 64 bits are
-selective at that distance. So candidates are texts that agree on a band of
-MinHash values instead: a pair at 0.8 has no band in common once in 20 million
+Jaccard similarity of ``SIMILARITY`` or more. Candidates are found by the
+partitions of operator 9: each set has a 64-bit SimHash, filed by the generalised
+pigeonhole principle (``simhash.links``), and sets whose fingerprints are joined
+by links of 3 or fewer differing bits are candidates. At 0.8 some 10 of 64 bits
+differ, up to 17 in one pair of a hundred, and no parts of 64 bits are
+selective at that distance. So texts that agree on a band of MinHash values are
+candidates too: a pair at 0.8 has no band in common once in 20 million
 times. Similarity itself is never estimated: candidates are compared by their sets.
 
-Texts with the same set are one node; nodes that band values join, directly or
-through others, are a family. The sets of a family lie in blocks of bounded
+Texts with the same set are one node; nodes that are candidates of each other,
+directly or through others, are a family. The sets of a family lie in blocks of bounded
 size, each set in one block. Probes, some of the family's nodes, are sent to
 its blocks, and a block compares all its sets with all its probes at once, by an
 inverted index of their shingles. What a block hands on is a spanning forest of
@@ -31,7 +34,8 @@ from sieveline.session import Scratch
 
 from .common import map_texts, utf8
 from .components import components
-from .simhash import shingle_hashes
+from .simhash import links as fingerprint_links
+from .simhash import majority, shingle_hashes
 
 SHINGLE = 5                  # words
 SIMILARITY = (4, 5)          # least Jaccard similarity of linked texts, as a fraction
@@ -60,21 +64,23 @@ def bands(own: np.ndarray) -> np.ndarray:
 
 
 def marks(docs: DataFrame, more: list[str]) -> DataFrame:
-    """``fp`` (a hash of the set, 0 for an empty one), its ``size`` and ``bands`` and the packed text of each row."""
+    """``fp`` (a hash of the set, 0 for an empty one), its ``size``, ``sim`` (SimHash, null for an empty one) and ``bands``
+    and the packed text of each row."""
     kinds = dict(docs.dtypes)
-    schema = ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in more), "fp long, size long, bands array<bigint>, z binary"])
+    schema = ", ".join(["doc_id long", *(f"{c} {kinds[c]}" for c in more), "fp long, size long, sim long, bands array<bigint>, z binary"])
 
     def step(batch):
         box = zstandard.ZstdCompressor(level=3)
-        fps, sizes, values, packed = [], [], [], []
+        fps, sizes, sims, values, packed = [], [], [], [], []
         for raw in utf8(batch.column("text")):
             own = shingles(raw)
             fps.append(xxhash.xxh64_intdigest(own.tobytes()) if len(own) else 0)
             sizes.append(len(own))
+            sims.append(majority(own) if len(own) else None)
             values.append(bands(own) if len(own) else [])
             packed.append(box.compress(raw))
         return {**{c: batch.column(c) for c in ["doc_id", *more]}, "fp": pa.array(np.array(fps, np.uint64).view(np.int64)),
-                "size": pa.array(sizes, pa.int64()), "bands": pa.array(values, pa.list_(pa.int64())),
+                "size": pa.array(sizes, pa.int64()), "sim": pa.array(sims, pa.int64()), "bands": pa.array(values, pa.list_(pa.int64())),
                 "z": pa.array(packed, pa.binary())}
 
     return map_texts(docs, ["doc_id", *more, "text"], schema, step)
@@ -172,6 +178,14 @@ def links(held: DataFrame, probes: DataFrame) -> DataFrame:
         walk, "a long, b long")
 
 
+def by_fingerprint(nodes: DataFrame, scratch: Scratch) -> DataFrame:
+    """``fp, value``: nodes (``fp, sim``) whose SimHashes the partitions of operator 9 join have one value."""
+    marked = nodes.filter("sim IS NOT NULL").select("fp", "sim")
+    joined = components(fingerprint_links(scratch.settle(marked.select(F.col("sim").alias("fp")).distinct(), "near-simhashes")))
+    rooted = marked.join(joined.withColumnRenamed("node", "sim"), "sim", "left")
+    return rooted.select("fp", F.xxhash64(F.lit("simhash"), F.coalesce("root", "sim")).alias("value"))
+
+
 def families(filed: DataFrame) -> DataFrame:
     """``fp, family`` of nodes filed (``value, fp``) under shared values: nodes that values join have one family."""
     least = filed.groupBy("value").agg(F.min("fp").alias("least"))
@@ -235,8 +249,9 @@ def near_copies(docs: DataFrame, more: list[str] | None = None) -> DataFrame:
     more = more or []
     with Scratch() as scratch:
         marked = scratch.settle(marks(docs, more), "near-marks")
-        nodes = scratch.settle(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), F.any_value("bands").alias("bands")), "near-nodes")
-        every = nodes.select("fp", F.explode("bands").alias("value"))
+        nodes = scratch.settle(marked.groupBy("fp").agg(
+            F.min("doc_id").alias("least"), F.any_value("sim").alias("sim"), F.any_value("bands").alias("bands")), "near-nodes")
+        every = nodes.select("fp", F.explode("bands").alias("value")).union(by_fingerprint(nodes, scratch))
         shared = every.groupBy("value").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("value")
         filed = scratch.settle(every.join(shared, "value", "left_semi"), "near-filed")
         wanted = filed.select("fp").distinct()

@@ -56,9 +56,8 @@ def shingle_hashes(raw: bytes, width: int) -> np.ndarray:
     return np.array(hashes, np.uint64)
 
 
-def fingerprint(raw: bytes) -> int:
-    """The SimHash of a text's word shingles, as a signed 64-bit number."""
-    h = shingle_hashes(raw, SHINGLE)
+def majority(h: np.ndarray) -> int:
+    """The SimHash of shingle hashes, as a signed 64-bit number; of none, zero."""
     if not len(h):
         return 0
     ones = np.zeros(BITS, np.int64)
@@ -67,6 +66,11 @@ def fingerprint(raw: bytes) -> int:
     return int(np.packbits(2 * ones > len(h), bitorder="little").view("<i8")[0])
 
 
+def fingerprint(raw: bytes) -> int:
+    """The SimHash of a text's word shingles."""
+    return majority(shingle_hashes(raw, SHINGLE))
+
+
 def fingerprints(docs: DataFrame, more: list[str] | None = None) -> DataFrame:
     """``doc_id, fp`` and the columns ``more`` of each row; a text without words has the fingerprint zero."""
     more = more or []

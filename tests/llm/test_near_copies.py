@@ -88,3 +88,16 @@ def test_the_stage_leaves_no_linked_pair(spark, documents):
     assert not any(brute_similar(sets[i], sets[j]) for i in range(len(kept)) for j in range(i))
     comp = dict(zip(rows, brute_components(rows)))
     assert {comp[k] for k in kept} == set(comp.values()) and len(kept) == len(set(comp.values()))
+
+
+def test_fingerprint_partitions_find_candidates(spark, documents, monkeypatch):
+    """Without a band in common, texts whose SimHashes are within 3 bits are still found, and compared by their sets."""
+    monkeypatch.setattr(N, "bands", lambda own: [])
+    r = random.Random(1)
+    base = [f"w{r.randrange(10 ** 6)}" for _ in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base[:-1], "end"])), (3, " ".join(["start", *base[1:]])),
+            (4, " ".join(base[::-1])), (5, " ".join(base).upper()), (6, None), (7, "")]
+    sims = [N.majority(N.shingles(t.encode())) for _, t in rows[:4]]
+    assert all((sims[0] ^ s) % 2 ** 64 and ((sims[0] ^ s) % 2 ** 64).bit_count() <= 3 for s in sims[1:3])
+    got = {x.doc_id: x.component_id for x in N.near_copies(documents(*rows)).collect()}
+    assert got == {1: 1, 2: 1, 3: 1, 4: 4, 5: 1, 6: 6, 7: 6}
