@@ -126,32 +126,37 @@ def limited(verdicts: DataFrame, max_results: int | None = None, rate: float = 0
             min_sample: int = 10, max_requests: int | None = None) -> tuple[DataFrame, DataFrame]:
     """``apply_limits``, and one row: ``stopped_at`` (``ord``) and ``stopped_reason`` of the limit that is met first,
     nulls where none is."""
-    trace, stops = _stops(verdicts, max_results, rate, window, min_sample, max_requests)
+    session = verdicts.sparkSession
+    stops = _stops(verdicts, max_results, rate, window, min_sample, max_requests)
+    # one row: found once, whoever reads it and however often
+    row = settle(session.range(0, 1, 1, 1).select(*[s.scalar().alias(k) for k, s in stops.items()]), "stops")
     reached = F.lit(True)
-    for stop in stops.values():
-        at = stop.scalar()
+    for k in stops:
+        at = row.select(k).scalar()
         reached = reached & (at.isNull() | (F.col("ord") <= at))
-    out = trace.withColumn("fate", F.when(~reached, F.lit("unreached"))
-                           .when(F.col("hidden"), F.lit("hidden")).otherwise(F.lit("shown")))
-    row = verdicts.sparkSession.range(1).select(*[s.scalar().alias(k) for k, s in stops.items()])
+    out = verdicts.withColumn("fate", F.when(~reached, F.lit("unreached"))
+                              .when(F.col("hidden"), F.lit("hidden")).otherwise(F.lit("shown")))
     first = F.least(*[F.col(k) for k in stops], F.lit(None).cast("long"))
     reason = F.coalesce(*[F.when(F.col(k) == F.col("stopped_at"), F.lit(STOPS[k])) for k in stops])
-    return (out.drop("_good", "_spent", "rn", "fail_rate", "over"),
-            row.withColumn("stopped_at", first).select("stopped_at", reason.alias("stopped_reason")))
+    return out, row.withColumn("stopped_at", first).select("stopped_at", reason.alias("stopped_reason"))
 
 
-def _stops(verdicts: DataFrame, max_results, rate, window, min_sample, max_requests) -> tuple[DataFrame, dict[str, DataFrame]]:
-    """The verdicts with what the limits count, and for each limit that is set one row: the ``ord`` it is met at."""
+def _stops(verdicts: DataFrame, max_results, rate, window, min_sample, max_requests) -> dict[str, DataFrame]:
+    """For each limit that is set one row: the ``ord`` it is met at.
+
+    Only what the limits count is put in order, never whole verdicts.
+    """
     from .rules import failed_signals
 
-    trace = breaker_trace(verdicts, F.size(failed_signals(verdicts)) > 0, "ord", rate, window, min_sample)
-    stops = {"breaker": trip_point(trace)}
+    asked = [F.col("requests")] if max_requests else []
+    counted = verdicts.select("ord", "outcome", "hidden", *asked, (F.size(failed_signals(verdicts)) > 0).alias("_broken"))
+    stops = {"breaker": trip_point(breaker_trace(counted.select("ord", "_broken"), F.col("_broken"), "ord", rate, window, min_sample))}
     sums = {"_good": (F.col("outcome") == "qualified").cast("int")} if max_results else {}
     sums |= {"_spent": F.col("requests")} if max_requests else {}
     if sums:
-        trace = running_total(trace, "ord", sums)
+        counted = running_total(counted.drop("_broken"), "ord", sums)
     if max_results:
-        stops["results"] = trace.filter(~F.col("hidden") & (F.col("_good") >= max_results)).agg(F.min("ord").alias("at"))
+        stops["results"] = counted.filter(~F.col("hidden") & (F.col("_good") >= max_results)).agg(F.min("ord").alias("at"))
     if max_requests:
-        stops["requests"] = trace.filter(F.col("_spent") >= max_requests).agg(F.min("ord").alias("at"))
-    return trace, stops
+        stops["requests"] = counted.filter(F.col("_spent") >= max_requests).agg(F.min("ord").alias("at"))
+    return stops

@@ -86,3 +86,15 @@ def test_run_is_recorded_and_written(spark, tmp_path):
     assert book.verdicts("r1").count() == 9 and list((tmp_path / "out").glob("part-*.csv"))
     rest = execute(spark, brief, Inputs(ledger=book), resume=book.verdicts("r1"))
     assert [r.cid for r in rest.results.orderBy("ord").collect()] == ["x10", "x11"] and rest.stats.first().resumed == 9
+
+
+def test_limits_put_no_whole_verdicts_in_order(spark, monkeypatch):
+    rows = spark.range(40).select(
+        F.col("id").alias("ord"), F.lit("qualified").alias("outcome"), F.lit(False).alias("hidden"), F.lit("wide").alias("name"),
+        F.struct(F.struct(F.lit(None).cast("string").alias("error")).alias("a")).alias("signals"))
+    kept, inner = [], ordered.settle
+    monkeypatch.setattr(ordered, "settle", lambda df, label="stage": kept.append(df.columns) or inner(df, label))
+    out, stop = ordered.limited(rows, max_results=7)
+    assert out.columns == [*rows.columns, "fate"] and stop.first().stopped_at == 6
+    assert sorted(r.ord for r in out.filter("fate = 'shown'").collect()) == list(range(7))
+    assert kept and not any({"name", "signals"} & set(columns) for columns in kept)
