@@ -65,12 +65,17 @@ def any_of(col: Column, needles) -> Column:
 
 
 def first_of(col: Column, needles, labels=None) -> Column:
-    """The first needle in list order that ``col`` holds, or null."""
+    """The first needle in list order that ``col`` holds, or null.
+
+    ``col`` is bound once: an expression inside a lambda is worked out anew for
+    every needle.
+    """
     needles = list(needles)
     if not needles:
         return F.lit(None).cast("string")
     words = word_list(needles)
-    hit = F.try_element_at(F.filter(words, lambda w: col.contains(w)), F.lit(1))
+    held = F.transform(F.array(col), lambda c: F.filter(words, lambda w: c.contains(w)))
+    hit = F.try_element_at(F.try_element_at(held, F.lit(1)), F.lit(1))
     if labels is None:
         return hit
     return F.try_element_at(word_list(labels), F.array_position(words, hit).cast("int"))

@@ -46,13 +46,14 @@ class SignalDef:
     # Column sets computed before the signal, level by level; a shared column
     # is computed once however many signals and rules read it.
     needs: tuple = ()
+    reads: tuple | None = None       # page facts it reads besides how a page was answered; None: any
 
 
 _SIGNALS: dict[str, SignalDef] = {}
 
 
 def signal(name: str, tier: str = FREE, kind: str = "text", *, version: int = 1, values=None,
-           whole: bool = False, suggest=None, rank=None, builtin: bool = False, needs=()):
+           whole: bool = False, suggest=None, rank=None, builtin: bool = False, needs=(), reads=None):
     """Register ``build(context) -> Column`` (see ``model.measurement``)."""
     if tier not in TIERS:
         raise ValueError(f"no tier {tier!r}")
@@ -61,7 +62,8 @@ def signal(name: str, tier: str = FREE, kind: str = "text", *, version: int = 1,
         if name in _SIGNALS:
             raise ValueError(f"signal {name!r} registered twice")
         _SIGNALS[name] = SignalDef(name, tier, build, kind, version, values, whole,
-                                   suggest, rank, builtin, tuple(needs))
+                                   suggest, rank, builtin, tuple(needs),
+                                   None if reads is None else tuple(reads))
         return build
     return wrap
 

@@ -74,7 +74,8 @@ def measure_paid(df: DataFrame, brief: Brief, inputs: Inputs, tier: str) -> Data
         if inputs.site_pages is None:
             df = _without_pages(df)
         else:
-            df = page_signals.with_pages_of(df, inputs.site_pages, hop, ctx.this_year, inputs.now, inputs.fresh_days)
+            df = page_signals.with_pages_of(df, inputs.site_pages, hop, ctx.this_year, inputs.now, inputs.fresh_days,
+                                            page_signals.facts_read(names))
         df = page_signals.with_mail_check(df, inputs.mail_domains if hop else None)
         asked = F.coalesce(F.col("_page")["requests"], F.lit(0)) + F.coalesce(F.col("_contact")["requests"], F.lit(0))
     else:
