@@ -186,7 +186,12 @@ def _with_contact(out: DataFrame, facts: DataFrame) -> DataFrame:
 
 def with_pages(listings: DataFrame, facts: DataFrame, contact_hop: bool = True) -> DataFrame:
     """``listings`` with ``_page`` and, where the home page shows no address
-    and links a contact page of its own, ``_contact``."""
+    and links a contact page of its own, ``_contact``.
+
+    With a contact hop the facts are settled: both lookups read them, and each
+    would open every page for them.
+    """
+    facts = settle(facts, "page-facts") if contact_hop else facts
     out = _with_home(listings, facts, contact_hop)
     return _with_contact(out, facts) if contact_hop else out
 

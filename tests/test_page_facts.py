@@ -6,6 +6,7 @@ from sieveline.functions import html as H
 from sieveline.functions.text import first_of
 from sieveline.operators import page_signals
 from workload import inputs as I
+from workload.signal_queries import hop_pages, now
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +52,11 @@ def test_years_words_and_platform(spark):
                     kind.alias("k"), marker.alias("m")).collect()
     assert [(r.w, r.y) for r in got] == [(3, [2010, 2012, 2015]), (0, []), (0, [])]
     assert [(r.k, r.m) for r in got] == [("wix", "wixstatic.com"), (None, None), (None, None)]
+
+
+def test_contact_hop_opens_pages_once(spark):
+    """Both lookups of a contact hop read the settled facts, not the pages again."""
+    owners = I.conform(hop_pages(spark, SF).select(F.col("url").alias("cid"), F.col("url").alias("website")))
+    facts = page_signals.site_facts(hop_pages(spark, SF), F.lit(I.YEAR), now(), wanted=page_signals.facts_read(["site_contact"]))
+    plan = page_signals.with_pages(owners.select("cid", "website", "booking_url"), facts)._jdf.queryExecution()
+    assert "regexp_extract_all" not in plan.optimizedPlan().toString()
