@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..reference_data import CHAINS, SCRIPT_WORDS
-from .text import collapse, word_list
+from .text import ascii_only, collapse, word_list
 
 # Fixed patterns: branch suffixes and company words that separate two branches
 # of one brand.
@@ -19,7 +19,10 @@ BRANCH_SUFFIX = (r"(?iU)\s[-–—|(]\s?[^-–—|()]{1,40}\)?$"
 COMPANY_WORDS = (r"(?iU)\b(ltd|limited|llc|inc|plc|gmbh|bv|pty|llp|co|corp|company|group|"
                  r"holdings|uk|usa|international)\b\.?")
 NOT_WORD = r"(?U)[^\p{L}\p{N}_\s]"
-ASCII_ONLY = r"^[\x00-\x7F]*$"
+# The same for lower-cased ASCII names, where the Unicode forms of classes and
+# cases match nothing more and cost several times as much.
+PLAIN_SUFFIX, PLAIN_WORDS = BRANCH_SUFFIX.replace("(?iU)", ""), COMPANY_WORDS.replace("(?iU)", "")
+PLAIN_GAP = "[^a-z0-9_]+"           # what NOT_WORD blanks and ``collapse`` then joins
 
 
 @lru_cache(maxsize=1)
@@ -44,9 +47,12 @@ def _compatibility_forms() -> tuple[str, str, dict[str, str]]:
     return "".join(src), "".join(dst), wide
 
 
-def fold_compatibility(col: Column) -> Column:
+def fold_compatibility(col: Column, source: Column | None = None) -> Column:
     """Full-width letters, ligatures and the like as their plain forms.
 
+    ``source`` is what ``col`` was cut from: it answers what characters there
+    may be, so that ``col`` itself is worked out once.
+
     ``translate`` covers the one-to-one forms; a name holding one of the rare
     expanding characters takes the per-character branch. Both stay in the JVM.
     """
@@ -55,8 +61,9 @@ def fold_compatibility(col: Column) -> Column:
     chars, forms = word_list(wide), word_list(wide.values())
     spelled = F.array_join(F.transform(F.split(plain, ""), lambda ch: F.coalesce(
         F.try_element_at(forms, F.nullif(F.array_position(chars, ch), F.lit(0)).cast("int")), ch)), "")
-    holds_wide = F.length(F.translate(plain, "".join(wide), "")) < F.length(plain)
-    return (F.when(col.rlike(ASCII_ONLY), col)
+    source = col if source is None else source
+    holds_wide = F.length(F.translate(source, "".join(wide), "")) < F.length(source)
+    return (F.when(ascii_only(source), col)
             .when(holds_wide, spelled)
             .otherwise(plain))
 
@@ -64,11 +71,13 @@ def fold_compatibility(col: Column) -> Column:
 def chain_key(name: Column) -> Column:
     """A name reduced to what branches of one brand share (empty when nothing
     usable is left)."""
-    return collapse(fold_compatibility(_stripped(name)))
+    key = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+    plain = F.regexp_replace(F.regexp_replace(key, PLAIN_SUFFIX, ""), PLAIN_WORDS, " ")
+    plain = F.trim(F.regexp_replace(plain, PLAIN_GAP, " "))
+    return F.when(ascii_only(key), plain).otherwise(collapse(fold_compatibility(_stripped(key), key)))
 
 
-def _stripped(name: Column) -> Column:
-    key = F.lower(F.trim(F.coalesce(name, F.lit(""))))
+def _stripped(key: Column) -> Column:
     key = F.regexp_replace(key, BRANCH_SUFFIX, "")
     key = F.regexp_replace(key, COMPANY_WORDS, " ")
     return F.regexp_replace(key, NOT_WORD, " ")
@@ -148,11 +157,11 @@ def _letter_marks() -> tuple[str, str]:
 def script_marks(name: Column) -> Column:
     """The letters of ``name``, each written as its script's mark; a letter of
     no listed script stays itself."""
-    plain = F.regexp_replace(F.regexp_replace(name, "[^A-Za-z]", ""), "[A-Za-z]", SCRIPT_MARKS["latin"])
-    spelled = F.translate(F.regexp_replace(name, r"[^\p{L}]", ""), *_letter_marks())
+    plain = F.repeat(F.lit(SCRIPT_MARKS["latin"]), F.length(F.regexp_replace(name, "[^A-Za-z]+", "")))
+    spelled = F.translate(F.regexp_replace(name, r"[^\p{L}]+", ""), *_letter_marks())
     for label in BY_RANGE:
         spelled = F.regexp_replace(spelled, script_class(label), SCRIPT_MARKS[label])
-    return F.when(name.rlike(ASCII_ONLY), plain).otherwise(spelled)
+    return F.when(ascii_only(name), plain).otherwise(spelled)
 
 
 def script_counts(marks: Column) -> dict[str, Column]:

@@ -46,6 +46,20 @@ def yes(col: Column) -> Column:
     return word.isin("true", "yes", "y", "1", "t")
 
 
+def picked(*pairs) -> Column:
+    """Of (condition, text) pairs the texts whose condition is true, in order.
+
+    ``array_compact`` runs a lambda, and Spark interprets whatever stands in
+    one; this is compiled with the rest of the row.
+    """
+    none = F.array().cast("array<string>")
+    return F.concat(none, *[F.when(held, F.array(F.lit(word))).otherwise(none) for held, word in pairs])
+
+
+def ascii_only(col: Column) -> Column:
+    return F.octet_length(col) == F.length(col)
+
+
 def without_nul(col: Column) -> Column:
     return F.translate(col, "\x00", "")
 
